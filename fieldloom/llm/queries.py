@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import groups, tokenizer, topn
+from fieldloom.llm import groups, overlap, subset, tokenizer, topn
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,13 +24,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("video_id", "cell_col", "cell_row", "frame")
 
 
+def p1_subset(spark: SparkSession, folder: str) -> DataFrame:
+    return subset.varied_frames(_table(spark, folder, "frames"), size=2000)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.frame_pairs(_table(spark, folder, "frames"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(_table(spark, folder, "frames"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer.tokenizer_path(TOKENIZER)
     return tokenizer.encode_texts(_table(spark, folder, "documents"), "doc_id", "text", path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids}
+    return {
+        "p1_subset": p1_subset,
+        "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p5_found": p5_found,
+        "p5_report": p5_report,
+        "p6_ids": p6_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
