@@ -110,6 +110,7 @@ def link_groups(
         near = edges.repartition(*names, F.floor(F.col("hi") / 4096))
         edges = near.mapInArrow(_folder(names, arrow), T.StructType([T.StructField(c, T.LongType()) for c in fields]))
     scratch = Scratch(spark, "groups")
+    all_edges, edges = _set_leaves_aside(scratch, edges, names)
     edges = scratch.save(edges, "edges0")
     for n in range(1, max_rounds + 1):
         edges = scratch.save(_small_star(_large_star(edges, names), names), f"edges{n}")
@@ -120,11 +121,29 @@ def link_groups(
     else:
         raise RuntimeError(f"links still change after {max_rounds} rounds")
     out = [F.col(s).alias(c) for s, c in zip(names, scope, strict=True)]
-    members = edges.select(*out, F.col("lo").alias("group"), F.col("hi").alias("member"))
-    heads = edges.select(*out, F.col("lo").alias("group"), F.col("lo").alias("member")).distinct()
+    core = edges.select(*names, F.col("hi").alias("lo"), F.col("lo").alias("head"))
+    leaves = all_edges.where("NOT core").join(core, [*names, "lo"], "left").select(*names, F.coalesce("head", "lo").alias("lo"), "hi")
+    stars = leaves.unionByName(edges.select(*names, "lo", "hi"))
+    members = stars.select(*out, F.col("lo").alias("group"), F.col("hi").alias("member"))
+    heads = stars.select(*names, "lo").distinct().select(*out, F.col("lo").alias("group"), F.col("lo").alias("member"))
     return members.unionByName(heads)
 
 
+def _set_leaves_aside(scratch: Scratch, edges: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All edges, marked as ``core`` or not, and the core ones.
+
+    The upper end of an edge is a leaf if it is in no other edge. It is never the smallest of its
+    group and gets the group of its lower end at last, so the rounds need not move it.
+    """
+    once = scratch.save(edges.distinct(), "all")
+    lower = once.select(*names, F.col("lo").alias("hi")).distinct().withColumn("seen", F.lit(2))
+    ends = once.select(*names, "hi", F.lit(1).alias("seen")).unionByName(lower)
+    tied = ends.groupBy(*names, "hi").agg(F.sum("seen").alias("seen")).where("seen > 1").drop("seen").withColumn("core", F.lit(True))
+    marked = scratch.save(once.join(tied, [*names, "hi"], "left").withColumn("core", F.col("core").isNotNull()), "marked")
+    scratch.drop("all")
+    return marked, marked.where("core").drop("core")
+
+
 def _large_star(edges: DataFrame, names: list[str]) -> DataFrame:
     """(hi, lo) becomes (hi, smallest of lo and its neighbours)."""
     # A smaller neighbour of lo is the lower end of an edge in which lo is the upper one.
