@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import groups, overlap, subset, tokenizer, topn
+from fieldloom.llm import groups, mixing, overlap, subjects, subset, tokenizer, topn
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +41,22 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_texts(_table(spark, folder, "documents"), "doc_id", "text", path)
 
 
+def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
+    return mixing.Mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), tokenizer.tokenizer_path(TOKENIZER), block=256)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).blocks()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report()
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(_table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "area")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_subset": p1_subset,
@@ -49,6 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_report": p5_report,
         "p6_ids": p6_ids,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
+        "p8_found": p8_found,
     }
 
 
