@@ -7,21 +7,25 @@ them are anchors. With ``n`` points at most ``n // 10`` have no partner, so the
 is among the first ``n // 10 + 1``; a partner's projection differs by the radius at most, which the
 margin of the anchors allows for. A hash is that of the grid cells of a first and a last anchor;
 training frames give the cells of their anchors, evaluation frames all cells within the radius of
-theirs. The join of the hashes thus finds every match, and the exact rule is then checked.
+theirs. The join of the hashes thus finds every match. Across the direction, the places of the first
+and of the last partnered point differ by the radius at most as well; the ranges in which they lie
+travel with the hash and thin the candidates. The exact rule is then checked.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Direction of the order, chosen so that points of a level grid seldom tie.
 ANGLE = 0.7131
 #: Edge of the grid cells in pixels.
-CELL = 12.0
+CELL = 8.0
 
 
 def usable_points(points: str = "points", limit: float = 1e9) -> str:
@@ -37,10 +41,25 @@ def _anchors(df: DataFrame, radius: float) -> DataFrame:
         .withColumn("line", F.expr(f"array_sort(transform(pts, p -> named_struct('t', p.x * {c!r}D + p.y * {s!r}D, 'x', p.x, 'y', p.y)))"))
         .withColumn("head", F.expr(f"filter(line, q -> q.t <= line[n div 10].t + {margin!r}D)"))
         .withColumn("tail", F.expr(f"filter(line, q -> q.t >= line[n - 1 - n div 10].t - {margin!r}D)"))
-        .drop("line", "pts")
+        .withColumn("across", F.expr(f"array_sort(transform(pts, p -> p.y * {c!r}D - p.x * {s!r}D))"))
+        .withColumn("ranges", F.expr(_packed("across[0]", "across[n div 10]", "across[n - 1 - n div 10]", "across[n - 1]", radius=radius)))
+        .drop("line", "across", "pts", "n")
     )
 
 
+def _packed(*ends: str, radius: float) -> str:
+    """Two ranges in whole pixels, rounded outwards by the radius, as the four parts of one bigint."""
+    grown = [f"floor({e} - {radius / 2!r}D)" if i % 2 == 0 else f"ceil({e} + {radius / 2!r}D)" for i, e in enumerate(ends)]
+    parts = [f"shiftleft(CAST(least(65535D, greatest(0D, {g} + 32768D)) AS BIGINT), {16 * i})" for i, g in enumerate(grown)]
+    return " | ".join(parts)
+
+
+def _meet(a: str, b: str) -> str:
+    """Whether both ranges of ``a`` and ``b`` meet."""
+    part = lambda x, i: f"(shiftrightunsigned({x}, {16 * i}) & 65535)"
+    return " AND ".join(f"{part(a, i)} <= {part(b, i + 1)} AND {part(b, i)} <= {part(a, i + 1)}" for i in (0, 2))
+
+
 def _cell(x: str, y: str) -> str:
     return f"floor(({x}) / {CELL!r}D) * 4294967296L + floor(({y}) / {CELL!r}D)"
 
@@ -57,7 +76,7 @@ def _hashes(df: DataFrame, reach: float | None) -> DataFrame:
     return (
         df.withColumn("heads", F.expr(f"array_distinct({cells('head')})"))
         .withColumn("tails", F.expr(f"array_distinct({cells('tail')})"))
-        .select("id", F.explode(F.expr(f"array_distinct({pairs})")).alias("hash"))
+        .select("id", "ranges", F.explode(F.expr(f"array_distinct({pairs})")).alias("hash"))
     )
 
 
@@ -89,20 +108,47 @@ def split_overlaps(
     ours = _hashes(_anchors(named.where(F.col("split") == train).drop("split"), radius), None)
     theirs = _hashes(_anchors(named.where(F.col("split") != train), radius), radius)
     candidates = (
-        ours.withColumnRenamed("id", "a").join(theirs.withColumnRenamed("id", "b"), "hash").where("a != b").select("a", "b").distinct()
+        ours.withColumnsRenamed({"id": "a", "ranges": "ra"})
+        .join(theirs.withColumnsRenamed({"id": "b", "ranges": "rb"}), "hash")
+        .where(f"a != b AND {_meet('ra', 'rb')}")
+        .select("a", "b")
+        .distinct()
     )
     once = named.dropDuplicates(["id", "split"])
     left = once.where(F.col("split") == train).select(F.col("id").alias("a"), F.col("pts").alias("pa"))
     right = once.where(F.col("split") != train).select(F.col("id").alias("b"), F.col("pts").alias("pb"), "split")
-    close = f"(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= {radius * radius!r}D"
-    covered = lambda x, y: f"10 * size(filter({x}, p -> exists({y}, q -> {close}))) >= 9 * size({x})"
-    match = f"(size(pa) >= size(pb) AND {covered('pa', 'pb')}) OR (size(pb) >= size(pa) AND {covered('pb', 'pa')})"
-    return (
-        candidates.join(left, "a").join(right, "b").where(F.expr(match))
-        .select(F.col("a").alias("train_frame"), F.col("b").alias("eval_frame"), "split")
+    both = candidates.join(left, "a").join(right, "b")
+    kind = named.schema["id"].dataType.simpleString()
+    return both.select("a", "b", "split", *_ordinates("pa"), *_ordinates("pb")).mapInArrow(
+        _checker(radius), f"train_frame {kind}, eval_frame {kind}, split string"
     )
 
 
+def _ordinates(points: str) -> list:
+    return [F.col(points)["x"].alias(f"{points}_x"), F.col(points)["y"].alias(f"{points}_y")]
+
+
+def _checker(radius: float):
+    """Keeps the pairs of which, of the frame with more points, nine tenths have a point of the other near."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [batch.column(i).offsets.to_numpy() for i in (3, 5)]
+            flat = [batch.column(i).values.to_numpy() for i in (3, 4, 5, 6)]
+            keep = np.zeros(batch.num_rows, bool)
+            for row in range(batch.num_rows):
+                a, b = slice(*ends[0][row : row + 2]), slice(*ends[1][row : row + 2])
+                dx, dy = flat[0][a, None] - flat[2][None, b], flat[1][a, None] - flat[3][None, b]
+                near = dx * dx + dy * dy <= radius * radius
+                n, m = near.shape
+                of_a, of_b = np.count_nonzero(near.any(axis=1)), np.count_nonzero(near.any(axis=0))
+                keep[row] = n >= m and 10 * of_a >= 9 * n or m >= n and 10 * of_b >= 9 * m
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(kept.columns[:3], names=["train_frame", "eval_frame", "split"])
+
+    return check
+
+
 def frame_pairs(frames: DataFrame) -> DataFrame:
     """The matching train and validation frames, smaller id first."""
     found = split_overlaps(frames)
