@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.storage import Scratch
+
 
 @dataclass(frozen=True)
 class Field:
@@ -78,70 +80,90 @@ def usual_scatter(values: np.ndarray, steps: bool) -> float:
     """The usual step between neighbours, or the deviation that such steps have about a level."""
     if len(values) < FEWEST:
         return float("nan")
-    step = float(np.median(_distance(np.diff(values, axis=0))))
+    step = float(_middle(_distance(np.diff(values, axis=0))))
     return step if steps else step / 0.6745 / np.sqrt(2)
 
 
+def _middle(values: np.ndarray) -> np.ndarray:
+    """The upper median of each column."""
+    half = len(values) // 2
+    return np.partition(values, half, axis=0)[half]
+
+
 def _running_median(values: np.ndarray, width: int) -> np.ndarray:
+    """The median of each column over ``width`` rows around each row, the ends repeated."""
     half = width // 2
-    padded = np.pad(values, (half, half), mode="edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
+    padded = np.concatenate([values[:1].repeat(half, 0), values, values[-1:].repeat(half, 0)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, width, axis=0)
+    return np.partition(windows, half, axis=-1)[..., half]
 
 
-def _robust(values: np.ndarray) -> float:
-    return float(np.median(np.abs(values - np.median(values)))) / 0.6745
+def _slope(values: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[1:-1] = (values[2:] - values[:-2]) / 2
+    out[0], out[-1] = values[1] - values[0], values[-1] - values[-2]
+    return out
 
 
 def phase_space(series: np.ndarray) -> np.ndarray:
-    """Which readings fall outside the ellipsoid of value, first and second difference in any round."""
+    """Which rows have a column outside its ellipsoid of value, first and second difference in any round."""
     n = len(series)
-    out = np.zeros(n, bool)
+    out = np.zeros(series.shape, bool)
     if n < FEWEST:
-        return out
+        return out.any(axis=1)
     reach = np.sqrt(2 * np.log(n))
     now = series.copy()
     place = np.arange(n)
     for _ in range(ROUNDS):
         u = now - _running_median(now, 2 * LONGEST + 1)
-        du = np.gradient(u)
-        ddu = np.gradient(du)
-        total = np.zeros(n)
-        for axis in (u, du, ddu):
-            scale = _robust(axis)
-            if scale > 0:
-                total += (axis / (reach * scale)) ** 2
-            else:
-                total[axis != np.median(axis)] = 2
+        du = _slope(u)
+        total = np.zeros(series.shape)
+        for axis in (u, du, _slope(du)):
+            off = np.abs(axis - _middle(axis))
+            scale = _middle(off) / 0.6745
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total += np.where(scale > 0, (axis / (reach * scale)) ** 2, np.where(off > 0, 2.0, 0.0))
         new = (total > 1) & ~out
-        if not new.any() or (out | new).all():
+        if not new.any() or (out | new).all(axis=0).any():
             break
         out |= new
-        now[out] = np.interp(place[out], place[~out], series[~out])
-    return out
+        for k in np.flatnonzero(new.any(axis=0)):
+            bad = out[:, k]
+            now[bad, k] = np.interp(place[bad], place[~bad], series[~bad, k])
+    return out.any(axis=1)
 
 
-def _course(values: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
-    """The median of up to COURSE rows before (back = -1) or from ``at`` on."""
-    take = at[:, None] + (np.arange(-COURSE, 0) if back < 0 else np.arange(COURSE))[None]
-    inside = (take >= 0) & (take < len(values))
-    rows = np.where(inside[..., None], values[np.clip(take, 0, len(values) - 1)], np.nan)
-    return np.nanmedian(rows, axis=1)
+def _courses(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The medians of the COURSE rows before each row and from each row on; of fewer at the ends."""
+    n = len(values)
+    full = np.sort(np.lib.stride_tricks.sliding_window_view(values, COURSE, axis=0), axis=-1)[..., COURSE // 2]
+    before, after = np.empty_like(values), np.empty_like(values)
+    before[COURSE:], after[: n - COURSE + 1] = full[: n - COURSE], full
+    for k in range(1, COURSE):
+        before[k], after[n - k] = np.median(values[:k], axis=0), np.median(values[n - k :], axis=0)
+    before[0] = values[0]
+    return before, after
 
 
 def _standing_apart(values: np.ndarray, candidate: np.ndarray, scale: float) -> np.ndarray:
     n = len(values)
     found = np.zeros(n, bool)
+    if not candidate.any():
+        return found
+    before, after = _courses(values)
     for length in range(1, min(LONGEST, n - 2) + 1):
-        first = np.arange(1, n - length)
-        first = first[np.lib.stride_tricks.sliding_window_view(candidate, length)[first].all(axis=1)]
+        first = np.flatnonzero(candidate)
+        first = first[(first >= 1) & (first < n - length)]
+        for k in range(1, length):
+            first = first[candidate[first + k]]
         if not len(first):
-            continue
-        before, after = _course(values, first, -1), _course(values, first + length, 1)
+            break
+        back, on = before[first], after[first + length]
         least = np.full(len(first), np.inf)
         for k in range(length):
-            for side in (before, after):
+            for side in (back, on):
                 least = np.minimum(least, _distance(values[first + k] - side))
-        hit = first[(least > APART * scale) & (_distance(after - before) < RETURN * least)]
+        hit = first[(least > APART * scale) & (_distance(on - back) < RETURN * least)]
         found[(hit[:, None] + np.arange(length)[None]).ravel()] = True
     return found
 
@@ -159,10 +181,7 @@ def spikes(values: np.ndarray, scale: float) -> np.ndarray:
         if len(left) < FEWEST:
             return found
         rest = values[left]
-        candidate = np.zeros(len(left), bool)
-        for series in rest.T:
-            candidate |= phase_space(series)
-        new = _standing_apart(rest, candidate, scale)
+        new = _standing_apart(rest, phase_space(rest), scale)
         if not new.any():
             return found
         found[left[new]] = True
@@ -265,7 +284,7 @@ def flag_faults(df: DataFrame, source: str, order: str, item: str, fields: Seque
         ("head", pa.list_(pa.list_(pa.float64()))), ("tail", pa.list_(pa.list_(pa.float64()))),
     ])
     placed = rows.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "at", "item")
-    summed = placed.mapInArrow(summary, "source long, chunk long, field int, n long, scale array<double>, head array<array<double>>, tail array<array<double>>")
+    summed = Scratch(df.sparkSession, "faults").save(placed.mapInArrow(summary, "source long, chunk long, field int, n long, scale array<double>, head array<array<double>>, tail array<array<double>>"), "summary")
     # Every summary has a reading, so HALO of them hold HALO readings at least.
     by = Window.partitionBy("source", "field").orderBy("chunk")
     beside = summed.withColumn("before", F.flatten(F.collect_list("tail").over(by.rowsBetween(-HALO, -1)))).withColumn(
