@@ -108,6 +108,19 @@ PIXELS = """pixels AS (
     FROM embeddings)"""
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded for comparison, without negative zeros."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 4, shift: float = 0.0) -> DataFrame:
+    """Doubles rounded for comparison, without negative zeros; angles to seven digits.
+
+    With a ``shift``, so much of the last place is added first, as sums that end on a half may fall to either side.
+    """
+
+    def place(c: str) -> int:
+        return 7 if c in ("rotation", "theta") else digits
+
+    return df.select(*[
+        (F.round(F.col(c) + shift * 10.0 ** -place(c), place(c)) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes
+    ])
+
+
+def sql_rounded(value: str, digits: int = 4, shift: float = 0.123) -> str:
+    return f"round({value} + {shift * 10.0 ** -digits:.12f}::DOUBLE, {digits}) + 0.0"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,10 +68,19 @@ def logarithm(p: Column) -> Column:
     return pose((a * p["x"] + b * p["y"]) / d, (a * p["y"] - b * p["x"]) / d, angle)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, so that nested motions do not multiply the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def interpolate(first: Column, second: Column, share: Column) -> Column:
     """The pose at ``share`` of the way from ``first`` to ``second``, on their common screw."""
-    twist = logarithm(compose(invert(first), second))
-    return compose(first, exponential(pose(share * twist["x"], share * twist["y"], share * twist["rotation"])))
+    step = lambda name, value: lambda v: F.struct(v["a"].alias("a"), v["s"].alias("s"), value(v).alias(name))
+    back = bound(F.struct(first.alias("a"), share.alias("s"), invert(first).alias("n"), second.alias("b")), step("q", lambda v: compose(v["n"], v["b"])))
+    twist = bound(back, step("w", lambda v: logarithm(v["q"])))
+    part = bound(twist, step("w", lambda v: pose(v["s"] * v["w"]["x"], v["s"] * v["w"]["y"], v["s"] * v["w"]["rotation"])))
+    motion = bound(part, step("m", lambda v: exponential(v["w"])))
+    return bound(motion, lambda v: compose(v["a"], v["m"]))
 
 
 def corrected(p: Column, before: Column, after: Column) -> Column:

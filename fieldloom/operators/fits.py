@@ -56,11 +56,20 @@ def residuals(points: DataFrame, key: list[str], step: float = 1.0) -> DataFrame
 def affine_geometry(points: DataFrame, key: list[str], step: float = 1.0) -> DataFrame:
     """Scale and anisotropy of each key's affine fit; no row below 3 points, without spread, or mirrored."""
     m = moments(points, key, step).where("n >= 3").withColumn("det", F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")).where("det > 1e-12")
-    solve = lambda p, q: ((F.col(p) * F.col("vv") - F.col(q) * F.col("uv")) / F.col("det"), (F.col(q) * F.col("uu") - F.col(p) * F.col("uv")) / F.col("det"))
+    det = F.nullif(F.col("det"), F.lit(0.0))
+    solve = lambda p, q: ((F.col(p) * F.col("vv") - F.col(q) * F.col("uv")) / det, (F.col(q) * F.col("uu") - F.col(p) * F.col("uv")) / det)
     (a, b), (c, d) = solve("ux", "vx"), solve("uy", "vy")
-    fit = m.select(*key, a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
-    area = F.col("a") * F.col("d") - F.col("b") * F.col("c")
-    total = F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c") + F.col("d") * F.col("d")
-    gap = F.sqrt(F.greatest(F.lit(0.0), total * total - 4 * area * area))
-    large, small = F.sqrt((total + gap) / 2), F.sqrt(F.greatest(F.lit(0.0), (total - gap) / 2))
-    return fit.where(area > 0).select(*key, F.sqrt(area).alias("scale"), F.when(small > 0, large / small).alias("anisotropy"))
+
+    def singular(m: Column) -> Column:
+        area = m["a"] * m["d"] - m["b"] * m["c"]
+        return F.struct(area.alias("area"), (m["a"] * m["a"] + m["b"] * m["b"] + m["c"] * m["c"] + m["d"] * m["d"]).alias("total"))
+
+    def shape(m: Column) -> Column:
+        gap = F.sqrt(F.greatest(F.lit(0.0), m["total"] * m["total"] - 4 * m["area"] * m["area"]))
+        small = F.sqrt(F.greatest(F.lit(0.0), (m["total"] - gap) / 2))
+        return F.struct(F.sqrt(m["area"]).alias("scale"), (F.sqrt((m["total"] + gap) / 2) / F.nullif(small, F.lit(0.0))).alias("anisotropy"))
+
+    # Bound step by step in lambdas, as nested projections would repeat every sub-expression.
+    bound = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))), singular)
+    fit = F.transform(F.filter(bound, lambda x: x["area"] > 0), shape)
+    return m.select(*key, F.inline(fit))

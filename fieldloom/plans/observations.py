@@ -41,12 +41,12 @@ def _nearest(a: str, f: float) -> str:
     return f"coalesce({a}[least(len({a}), floor((len({a}) - 1) * {f} + 0.5)::INT + 1)], 0)"
 
 
-@query("rigid_pose_fit", f"{MOMENTS} SELECT video_id, frame_id, n, round(theta, 4) + 0.0 AS theta, round(mx-cos(theta)*mu+sin(theta)*mv, 4) + 0.0 AS tx, round(my-sin(theta)*mu-cos(theta)*mv, 4) + 0.0 AS ty FROM f")
+@query("rigid_pose_fit", f"{MOMENTS} SELECT video_id, frame_id, n, round(theta, 7) + 0.0 AS theta, round(mx-cos(theta)*mu+sin(theta)*mv, 4) + 0.0 AS tx, round(my-sin(theta)*mu-cos(theta)*mv, 4) + 0.0 AS ty FROM f")
 def rigid_pose_fit(spark, folder):
     return rounded(fits.rigid_fit(points(spark, folder), ["video_id", "frame_id"]).select("video_id", "frame_id", "n", "theta", "tx", "ty"))
 
 
-@query("similarity_fit", f"{MOMENTS} SELECT frame_id, round(scale, 4) AS scale, round(theta, 4) + 0.0 AS theta FROM f")
+@query("similarity_fit", f"{MOMENTS} SELECT frame_id, round(scale, 4) AS scale, round(theta, 7) + 0.0 AS theta FROM f")
 def similarity_fit(spark, folder):
     return rounded(fits.rigid_fit(points(spark, folder), ["video_id", "frame_id"]).select("frame_id", "scale", "theta"))
 
@@ -129,15 +129,15 @@ cells AS (SELECT frame_id, col, row, abs(x0*y1-x1*y0+x1*y2-x2*y1+x2*y3-x3*y2+x3*
           WHERE (t0 > 0 AND t1 > 0 AND t2 > 0 AND t3 > 0) OR (t0 < 0 AND t1 < 0 AND t2 < 0 AND t3 < 0))"""
 
 
-@query("cell_areas", f"{CELLS} SELECT frame_id, col, row, round(area, 3) AS area, round(x, 3) AS x, round(y, 3) AS y FROM cells")
+@query("cell_areas", f"{CELLS} SELECT frame_id, col, row, round(area, 7) AS area, round(x, 7) AS x, round(y, 7) AS y FROM cells")
 def cell_areas(spark, folder):
-    return rounded(ops.grid_cells(points(spark, folder)), 3)
+    return rounded(ops.grid_cells(points(spark, folder)), 7)
 
 
-@query("area_summary", f"""{CELLS} SELECT frame_id, count(*) AS n, round(min(area), 3) AS low, round(max(area), 3) AS high, round(avg(area), 3) AS mean,
-    round(median(area), 3) AS middle, round(stddev_pop(area), 3) AS deviation, round(greatest(max(area)-avg(area), avg(area)-min(area))/avg(area), 3) AS worst FROM cells GROUP BY frame_id""")
+@query("area_summary", f"""{CELLS} SELECT frame_id, count(*) AS n, round(min(area), 8) AS low, round(max(area), 8) AS high, round(avg(area), 8) AS mean,
+    round(median(area), 8) AS middle, round(stddev_pop(area), 8) AS deviation, round(greatest(max(area)-avg(area), avg(area)-min(area))/avg(area), 8) AS worst FROM cells GROUP BY frame_id""")
 def area_summary(spark, folder):
-    return rounded(ops.area_summary(ops.grid_cells(points(spark, folder))), 3)
+    return rounded(ops.area_summary(ops.grid_cells(points(spark, folder))), 8)
 
 
 @query("validate_observations", f"""WITH {OBSERVATIONS}
