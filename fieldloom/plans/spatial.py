@@ -11,7 +11,7 @@ from fieldloom.plans.registry import query
 
 PLANE = ops.Plane()
 
-FRAMES = f"""WITH {SKY}, g AS (SELECT *, cos(rotation) AS c, sin(rotation) AS s FROM sky WHERE success),
+FRAMES = f"""WITH {SKY}, g AS (SELECT * EXCLUDE (kind), cos(rotation) AS c, sin(rotation) AS s FROM sky WHERE success),
     e AS (SELECT *, x-(abs(c)*200+abs(s)*150) AS lx, x+(abs(c)*200+abs(s)*150) AS hx, y-(abs(s)*200+abs(c)*150) AS ly, y+(abs(s)*200+abs(c)*150) AS hy FROM g),
     bd AS (SELECT floor(min(lx))::BIGINT AS x0, floor(min(ly))::BIGINT AS y0, ceil(max(hx))::BIGINT AS x1, ceil(max(hy))::BIGINT AS y1 FROM e)"""
 
@@ -109,11 +109,12 @@ def polygon_overlap(spark, folder):
     pb AS (SELECT *, bx0+(k%16+0.5)*(bx1-bx0)/16 AS px, by0+(k//16+0.5)*(by1-by0)/16 AS py FROM ov, range(256) t(k)),
     su AS (SELECT a, b, kind, count(*) AS support FROM pb WHERE {_holds('px', 'py', 'fa_')} AND {_holds('px', 'py', 'fb_')} GROUP BY ALL HAVING count(*) >= 4),
     rn AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY support DESC, a) AS k FROM su WHERE kind = 0)
-    SELECT a AS reference, b AS current, 'temporal' AS kind, support FROM su WHERE kind = 1
-    UNION ALL SELECT a, b, 'spatial', support FROM rn WHERE k <= 4 AND NOT EXISTS (SELECT 1 FROM su t WHERE t.kind = 1 AND t.a = rn.a AND t.b = rn.b)""")
+    SELECT a AS reference, b AS current, true AS temporal, support FROM su WHERE kind = 1
+    UNION ALL SELECT a, b, false, support FROM rn WHERE k <= 4 AND NOT EXISTS (SELECT 1 FROM su t WHERE t.kind = 1 AND t.a = rn.a AND t.b = rn.b)""")
 def overlap_pairs(spark, folder):
     frames = _frames(spark, folder)
-    return ops.overlap_pairs(PLANE, frames.join(ops.merge_frames(PLANE, frames, 3), "frame", "left_semi"))
+    pairs = ops.overlap_pairs(PLANE, frames.join(ops.merge_frames(PLANE, frames, 3), "frame", "left_semi"))
+    return pairs.select("reference", "current", (F.col("kind") == "temporal").alias("temporal"), "support")
 
 
 @query("fine_pairs", f"""WITH {PATH}, g AS (SELECT video_id, frame, x, y FROM path WHERE x IS NOT NULL),
