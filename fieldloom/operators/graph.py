@@ -9,28 +9,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.kernels.forest import folder
 from fieldloom.storage import Scratch
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
     """Every node with the smallest frame of its component; lone nodes are their own.
 
-    Labels go to the least among neighbours and then jump to their label's label, so long chains close
+    Edges are first folded into stars near each other. Then labels go to the least among neighbours and then jump to their label's label, so long chains close
     in few rounds. Each round is written to the shared folder.
     """
     scratch = Scratch(nodes.sparkSession, "components")
     k = list(key)
-    both = edges.select(*k, F.col("reference").alias("frame"), F.col("current").alias("other")).unionByName(edges.select(*k, F.col("current").alias("frame"), F.col("reference").alias("other")))
-    both = scratch.save(both.where("frame != other").distinct(), "links")
+    ordered = edges.select(*[F.col(c).cast("long").alias(c) for c in k], F.greatest("reference", "current").cast("long").alias("hi"), F.least("reference", "current").cast("long").alias("lo"))
+    near = ordered.dropna().where("hi != lo").repartition(*k, F.floor(F.col("hi") / 4096))
+    stars = scratch.save(near.mapInArrow(folder(k), ", ".join(f"{c} long" for c in [*k, "hi", "lo"])), "stars")
+    both = stars.select(*k, F.col("hi").alias("frame"), F.col("lo").alias("other")).unionByName(stars.select(*k, F.col("lo").alias("frame"), F.col("hi").alias("other")))
+    both = scratch.save(both.distinct(), "links")
     labels = scratch.save(nodes.select(*k, "frame", F.col("frame").alias("label")).distinct(), "labels0")
     n = 0
     while True:
         n += 1
         seen = both.join(labels.withColumnsRenamed({"frame": "other", "label": "near"}), [*k, "other"]).groupBy(*k, "frame").agg(F.min("near").alias("near"))
-        low = labels.join(seen, [*k, "frame"], "left").select(*k, "frame", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = low.join(low.select(*k, F.col("frame").alias("low"), F.col("low").alias("far")), [*k, "low"], "left")
-        new = scratch.save(jump.select(*k, "frame", F.coalesce("far", "low").alias("label"), (F.coalesce("far", "low") != F.col("label")).alias("moved")), f"labels{n}")
+        low = scratch.save(labels.join(seen, [*k, "frame"], "left").select(*k, "frame", "label", F.least("label", F.coalesce("near", "label")).alias("low")), f"low{n}")
+        after = lambda name: low.select(*k, F.col("frame").alias("low"), F.col("low").alias(name))
+        one = low.join(after("far"), [*k, "low"]).select(*k, "frame", "label", F.col("far").alias("low"))
+        two = one.join(after("far"), [*k, "low"])
+        new = scratch.save(two.select(*k, "frame", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), f"labels{n}")
         scratch.drop(f"labels{n - 1}")
+        scratch.drop(f"low{n}")
         if new.where("moved").isEmpty():
             return new.drop("moved")
         labels = new.drop("moved")
@@ -57,15 +64,16 @@ def _adjust(nodes: pd.DataFrame, edges: pd.DataFrame, rounds: int, lever: float)
         r = residual(at)
         robust = w / (1 + (r**2).sum(axis=1) / 400) ** 2
         c, s = np.cos(at[a, 2]), np.sin(at[a, 2])
-        hess, grad = np.zeros((3 * n, 3 * n)), np.zeros(3 * n)
-        for e in range(len(a)):
-            ja = np.array([[1, 0, -s[e] * m[e, 0] - c[e] * m[e, 1]], [0, 1, c[e] * m[e, 0] - s[e] * m[e, 1]], [0, 0, -lever]])
-            jb = np.diag([-1.0, -1.0, lever])
-            i, j = slice(3 * a[e], 3 * a[e] + 3), slice(3 * b[e], 3 * b[e] + 3)
-            for p, jp in ((i, ja), (j, jb)):
-                grad[p] += robust[e] * jp.T @ r[e]
-                for q, jq in ((i, ja), (j, jb)):
-                    hess[p, q] += robust[e] * jp.T @ jq
+        ja = np.zeros((len(a), 3, 3))
+        ja[:, 0, 0] = ja[:, 1, 1] = 1
+        ja[:, 0, 2], ja[:, 1, 2], ja[:, 2, 2] = -s * m[:, 0] - c * m[:, 1], c * m[:, 0] - s * m[:, 1], -lever
+        jb = np.broadcast_to(np.diag([-1.0, -1.0, lever]), ja.shape)
+        blocks, slopes = np.zeros((n, n, 3, 3)), np.zeros((n, 3))
+        for p, jp in ((a, ja), (b, jb)):
+            np.add.at(slopes, p, np.einsum("e,eki,ek->ei", robust, jp, r))
+            for q, jq in ((a, ja), (b, jb)):
+                np.add.at(blocks, (p, q), np.einsum("e,eki,ekj->eij", robust, jp, jq))
+        hess, grad = blocks.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n), slopes.ravel()
         hess[np.arange(3 * n), np.arange(3 * n)] += 1e-6
         hess[:3, :3] += 1e9 * np.eye(3)
         step, share = np.linalg.solve(hess, -grad).reshape(n, 3), 1.0

@@ -106,7 +106,7 @@ def polygon_overlap(spark, folder):
              UNION ALL SELECT a, b, 1 FROM (SELECT lag(frame) OVER (ORDER BY frame) AS a, frame AS b FROM f) WHERE a IS NOT NULL),
     ov AS (SELECT c.a, c.b, c.kind, p.x AS fa_x, p.y AS fa_y, p.c AS fa_c, p.s AS fa_s, q.x AS fb_x, q.y AS fb_y, q.c AS fb_c, q.s AS fb_s, greatest(p.lx, q.lx) AS bx0, least(p.hx, q.hx) AS bx1, greatest(p.ly, q.ly) AS by0, least(p.hy, q.hy) AS by1
            FROM cand c JOIN f p ON p.frame = c.a JOIN f q ON q.frame = c.b WHERE NOT ({_apart('p', 'q')})),
-    pb AS (SELECT *, bx0+(k%16+0.5)*(bx1-bx0)/16 AS px, by0+(k//16+0.5)*(by1-by0)/16 AS py FROM ov, range(256) t(k)),
+    pb AS (SELECT a, b, kind, fa_x, fa_y, fa_c, fa_s, fb_x, fb_y, fb_c, fb_s, bx0+(k%16+0.5)*(bx1-bx0)/16 AS px, by0+(k//16+0.5)*(by1-by0)/16 AS py FROM (SELECT *, unnest(range(256)) AS k FROM ov)),
     su AS (SELECT a, b, kind, count(*) AS support FROM pb WHERE {_holds('px', 'py', 'fa_')} AND {_holds('px', 'py', 'fb_')} GROUP BY ALL HAVING count(*) >= 4),
     rn AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY support DESC, a) AS k FROM su WHERE kind = 0)
     SELECT a AS reference, b AS current, true AS temporal, support FROM su WHERE kind = 1
