@@ -7,76 +7,15 @@ them. Both keep the components and end in one star per component, around its sma
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.kernels.forest import folder
 from fieldloom.storage import Scratch
 
-#: Edges that a task folds at a time before the first exchange.
-FOLD_EDGES = 400_000
-
-
-def _star_forest(keys: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges with the same components, each from a node to the smallest of its component here.
-
-    Returns the positions (in the doubled endpoint list) of the member and of the smallest member.
-    """
-    n = len(a)
-    node = np.concatenate([a, b])
-    scope = [np.concatenate([k, k]) for k in keys]
-    order = np.lexsort([node, *scope[::-1]])
-    new = np.zeros(2 * n, bool)
-    new[0] = True
-    for x in [node, *scope]:
-        y = x[order]
-        new[1:] |= y[1:] != y[:-1]
-    dense = np.empty(2 * n, np.int64)
-    dense[order] = np.cumsum(new) - 1
-    first = order[new]
-    u, v = dense[:n], dense[n:]
-    parent = np.arange(len(first))
-    while True:
-        low = np.minimum(parent[u], parent[v])
-        before = parent.copy()
-        for end in (u, v, before[u], before[v]):
-            np.minimum.at(parent, end, low)
-        while (up := parent[parent] < parent).any():
-            parent[up] = parent[parent[up]]
-        if (before == parent).all():
-            break
-    member = np.flatnonzero(parent != np.arange(len(first)))
-    return first[member], first[parent[member]], node
-
-
-def _folder(scope: Sequence[str], schema: pa.Schema):
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            keys = [table[c].to_numpy() for c in scope]
-            hi, lo, node = _star_forest(keys, table["hi"].to_numpy(), table["lo"].to_numpy())
-            columns = [np.concatenate([k, k])[hi] for k in keys] + [node[hi], node[lo]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                count += batch.num_rows
-            if count >= FOLD_EDGES:
-                yield from flush()
-                held, count = [], 0
-        if count:
-            yield from flush()
-
-    return fold
-
 
 def link_groups(
     pairs: DataFrame, a: str, b: str, scope: Sequence[str] = (), fold: bool = True, max_rounds: int = 60
@@ -105,10 +44,8 @@ def link_groups(
     )
     edges = edges.dropna().where("real").drop("real")
     if fold:
-        fields = [*names, "hi", "lo"]
-        arrow = pa.schema([(c, pa.int64()) for c in fields])
         near = edges.repartition(*names, F.floor(F.col("hi") / 4096))
-        edges = near.mapInArrow(_folder(names, arrow), T.StructType([T.StructField(c, T.LongType()) for c in fields]))
+        edges = near.mapInArrow(folder(names), T.StructType([T.StructField(c, T.LongType()) for c in [*names, "hi", "lo"]]))
     scratch = Scratch(spark, "groups")
     all_edges, edges = _set_leaves_aside(scratch, edges, names)
     edges = scratch.save(edges, "edges0")
