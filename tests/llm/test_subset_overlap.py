@@ -34,11 +34,11 @@ def _brute(rows):
 def test_pairs_match_brute_force(spark):
     rng = random.Random(5)
     rows = []
-    for k in range(60):
+    for k in range(90):
         x, y, t = rng.uniform(0, 300), rng.uniform(0, 300), rng.uniform(-0.3, 0.3)
-        for _ in range(rng.randint(1, 3)):
+        for _ in range(rng.randint(2, 4)):
             role = rng.choice(["train", " Train", "validation", "VALIDATION", None, "other"])
-            rows.append((len(rows), k, role, None, _grid(x, y, 5, rng.choice([4, 5]), t, noise=rng.choice([0, 0.7, 1.2]), rng=rng, drop=rng.choice([0, 0, 1, 2, 3]))))
+            rows.append((len(rows), k, role, None, _grid(x, y, 5, rng.choice([4, 5]), t, noise=rng.choice([0, 0.5, 0.9]), rng=rng, drop=rng.choice([0, 0, 1, 2, 3]))))
     rows += [(900, 1, "train", True, None), (901, 1, "validation", True, []), (902, 1, "train", True, _grid(0, 0, 2, 4)), (903, 1, "validation", True, _grid(0, 0, 2, 4))]
     df = spark.createDataFrame(rows, SCHEMA)
     want = _brute(rows)
