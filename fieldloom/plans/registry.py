@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from fieldloom.plans import faults, images, network, observations, paths, spatial  # noqa: F401
+    from fieldloom.plans import faults, images, network, observations, paths, planning, spatial  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
