@@ -69,7 +69,8 @@ def feather_weights(allowed: np.ndarray, share: float = 0.1) -> np.ndarray:
             if 0 <= r - side < h:
                 above = d[r - side]
                 d[r] = np.minimum(d[r], above + 3)
-                d[r, 1:], d[r, :-1] = np.minimum(d[r, 1:], above[:-1] + 4), np.minimum(d[r, :-1], above[1:] + 4)
+                d[r, 1:] = np.minimum(d[r, 1:], above[:-1] + 4)
+                d[r, :-1] = np.minimum(d[r, :-1], above[1:] + 4)
             # Along the row a step costs 3: a running minimum of d - 3 x.
             line = d[r] if side > 0 else d[r, ::-1]
             line[:] = np.minimum.accumulate(line - 3 * np.arange(w)) + 3 * np.arange(w)

@@ -92,17 +92,31 @@ def overlap_checks(path: DataFrame, track: str, order: str, reach: float) -> Dat
     """
     from fieldloom.operators.windows import travelled
 
-    rows = travelled(path, track, order).select(track, order, "x", "y", "travelled", F.floor(F.col("x") / reach).alias("i"), F.floor(F.col("y") / reach).alias("j"))
-    around = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    a = rows.select(track, F.col(order).alias("reference"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("travelled").alias("at"), F.inline(around))
-    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    pairs = a.join(rows, [track, "i", "j"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where((F.col(order) > F.col("reference")) & (F.col("travelled") - F.col("at") >= 2 * reach) & (F.col("d") < reach))
-    first = F.row_number().over(Window.partitionBy(track, "reference").orderBy("d", order))
-    best = pairs.withColumn("k", first).where("k = 1").select(track, "reference", F.col(order).alias("current"), "d", F.floor((F.col("ax") + F.col("x")) / 2 / (reach / 2)).alias("ri"), F.floor((F.col("ay") + F.col("y")) / 2 / (reach / 2)).alias("rj"))
+    rows = travelled(path, track, order).select(track, order, "x", "y", "travelled")
+    asks, best = rows, None
+    # A place with a partner within a part of the reach has its closest one there, so dense places are settled on fine grids.
+    for part in (1 / 64, 1 / 16, 1 / 4, 1.0):
+        here = _closest_later(asks, rows, track, order, reach * part, 2 * reach)
+        best = here if best is None else best.unionByName(here)
+        asks = asks.join(here.select(track, F.col("reference").alias(order)), [track, order], "left_anti")
+    best = best.withColumns({"ri": F.floor(F.col("mx") / (reach / 2)), "rj": F.floor(F.col("my") / (reach / 2))})
     region = F.row_number().over(Window.partitionBy(track, "ri", "rj").orderBy("d", "reference"))
     return best.withColumn("k", region).where("k = 1").select(track, "reference", "current", "d")
 
 
+def _closest_later(asks: DataFrame, rows: DataFrame, track: str, order: str, reach: float, way: float) -> DataFrame:
+    """For each ask its closest later row nearer than ``reach`` and at least ``way`` further on, and their middle."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.array(*[F.struct((cell("x") + a).alias("i"), (cell("y") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    a = asks.select(track, F.col(order).alias("reference"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("travelled").alias("at"), F.inline(around))
+    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
+    pairs = a.join(rows.withColumns({"i": cell("x"), "j": cell("y")}), [track, "i", "j"]).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    good = pairs.where((F.col(order) > F.col("reference")) & (F.col("travelled") - F.col("at") >= way) & (F.col("d") < reach))
+    middle = [((F.col("ax") + F.col("x")) / 2).alias("mx"), ((F.col("ay") + F.col("y")) / 2).alias("my")]
+    first = good.groupBy(track, "reference").agg(F.min(F.struct("d", F.col(order).alias("current"), *middle)).alias("m"))
+    return first.select(track, "reference", "m.current", "m.d", "m.mx", "m.my")
+
+
 def frame_report(pairs: DataFrame, track: str) -> DataFrame:
     """Per frame: attempts and successes of its pairs, and its worst score, a failed pair's counting three quarters."""
     score = F.when(F.col("accepted"), F.col("score")).otherwise(0.75 * F.col("score"))

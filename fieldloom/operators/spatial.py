@@ -182,13 +182,31 @@ def overlap_pairs(plane: Plane, frames: DataFrame, neighbours: int = 4, least_su
     return temporal.unionByName(spatial).select(F.col("a").alias("reference"), F.col("b").alias("current"), "kind", "support")
 
 
-def nearest(points: DataFrame, item: str, group: Sequence[str], k: int, reach: float) -> DataFrame:
-    """The ``k`` nearest other items of each item of the same group within ``reach``, by a grid of that size; ties by item."""
-    placed = points.select(*group, item, "x", "y", F.floor(F.col("x") / reach).alias("i"), F.floor(F.col("y") / reach).alias("j"))
-    around = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    asks = placed.select(*group, F.col(item).alias("ask"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.inline(around))
+def nearest(points: DataFrame, item: str, group: Sequence[str], k: int, reach: float, levels: Sequence[float] = (1 / 64, 1 / 16, 1 / 4)) -> DataFrame:
+    """The ``k`` nearest other items of each item of the same group within ``reach``; ties by item.
+
+    An item that has ``k`` others within a part of the reach needs no others, so dense places are settled on
+    fine grids and only what is left asks on coarser ones, the last of which is exact for all.
+    """
+    at = points.select(*group, item, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    asks, found = at, None
+    for part in [*levels, 1.0]:
+        here = _within(asks, at, item, group, k, reach * part)
+        if part < 1.0:
+            full = here.groupBy(*group, "ask").agg(F.count("*").alias("n")).where(F.col("n") == k).select(*group, F.col("ask").alias(item))
+            asks = asks.join(full, [*group, item], "left_anti")
+            here = here.join(full.withColumnRenamed(item, "ask"), [*group, "ask"], "left_semi")
+        found = here if found is None else found.unionByName(here)
+    return found
+
+
+def _within(asks: DataFrame, points: DataFrame, item: str, group: Sequence[str], k: int, reach: float) -> DataFrame:
+    cell = lambda c: F.floor(F.col(c) / reach)
+    placed = points.select(*group, item, "x", "y", cell("x").alias("i"), cell("y").alias("j"))
+    around = F.array(*[F.struct((cell("x") + a).alias("i"), (cell("y") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    opened = asks.select(*group, F.col(item).alias("ask"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.inline(around))
     d = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
-    pairs = asks.join(placed, [*group, "i", "j"]).where((F.col("ask") != F.col(item)) & (d <= reach * reach)).select(*group, "ask", item, d.alias("d"))
+    pairs = opened.join(placed, [*group, "i", "j"]).where((F.col("ask") != F.col(item)) & (d <= reach * reach)).select(*group, "ask", item, d.alias("d"))
     rank = F.row_number().over(Window.partitionBy(*group, "ask").orderBy("d", item))
     return pairs.withColumn("place", rank).where(F.col("place") <= k).select(*group, "ask", F.col(item).alias("near"), "place", F.sqrt("d").alias("distance"))
 
