@@ -43,11 +43,100 @@ def components(nodes: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFr
         labels = new.drop("moved")
 
 
+#: Nodes from which a system is reduced before it is solved, nodes that are solved densely at most, and neighbours from which a node is not eliminated.
+DENSE, CORE, CROWDED = 128, 1500, 48
+
+
+def _merged(key: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the blocks of equal key, in the order of the keys."""
+    if not len(key):
+        return key, blocks
+    order = np.argsort(key, kind="stable")
+    key, blocks = key[order], blocks[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[start], np.add.reduceat(blocks, start, axis=0)
+
+
+def _conjugate(row: np.ndarray, col: np.ndarray, off: np.ndarray, diag: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Conjugate gradients with the inverse diagonal blocks, until the residual is 1e-12 of the right side or stands still."""
+    n, inverse = len(diag), np.linalg.inv(diag)
+    times = lambda v: np.einsum("nij,nj->ni", diag, v) + np.stack([np.bincount(row, c, n) for c in np.einsum("eij,ej->ei", off, v[col]).T], axis=1)
+    x, r = np.zeros_like(right), right.copy()
+    z = np.einsum("nij,nj->ni", inverse, r)
+    d, rz = z.copy(), (r * z).sum()
+    goal, best, still = 1e-12 * np.sqrt((right**2).sum()), np.inf, 0
+    while (size := np.sqrt((r**2).sum())) > goal and still < 3 * n + 100:
+        best, still = (size, 0) if size < best else (best, still + 1)
+        q = times(d)
+        share = rz / (d * q).sum()
+        x, r = x + share * d, r - share * q
+        z = np.einsum("nij,nj->ni", inverse, r)
+        rz, old = (r * z).sum(), rz
+        d = z + rz / old * d
+    return x
+
+
+def solved(n: int, row: np.ndarray, col: np.ndarray, blocks: np.ndarray, right: np.ndarray, dense: int = DENSE, core: int = CORE) -> np.ndarray:
+    """The solution of a symmetric positive system of 3 by 3 blocks, given as entries that add up.
+
+    Independent nodes of few neighbours are eliminated together, round by round, which takes a chain with a few
+    long links in about log n rounds without much fill. What remains is solved densely, or by conjugate
+    gradients where it is large.
+    """
+    key, values = _merged(row.astype(np.int64) * n + col, blocks)
+    row, col = key // n, key % n
+    diag = np.zeros((n, 3, 3))
+    diag[row[row == col]] = values[row == col]
+    row, col, off = row[row != col], col[row != col], values[row != col]
+    right, alive, done, luck = right.copy(), np.ones(n, bool), [], np.random.default_rng(7)
+    while alive.sum() > dense:
+        degree = np.bincount(row, minlength=n)
+        few = degree[alive].min()
+        if few > CROWDED:
+            break
+        rank = luck.permutation(n) + n * degree  # distinct, so neighbours are never eliminated together
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, row, rank[col])
+        out = alive & (rank < least) & (degree <= max(6, 2 * few))
+        mine = out[row]
+        e, j, b = row[mine], col[mine], off[mine]
+        inverse = np.zeros_like(diag)
+        inverse[out] = np.linalg.inv(diag[out])
+        pull = np.einsum("eki,ekl->eil", b, inverse[e])  # entries are in the order of rows
+        np.subtract.at(right, j, np.einsum("eij,ej->ei", pull, right[e]))
+        each, first = degree[e], np.searchsorted(e, e)
+        left = np.repeat(np.arange(len(e)), each)
+        other = np.repeat(first, each) + np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
+        fill = -np.einsum("eij,ejk->eik", pull[left], b[other])
+        own = j[left] == j[other]
+        np.add.at(diag, j[left][own], fill[own])
+        stay = ~mine & ~out[col]
+        key, off = _merged(np.r_[row[stay] * n + col[stay], j[left][~own] * n + j[other][~own]], np.concatenate([off[stay], fill[~own]]))
+        row, col = key // n, key % n
+        done.append((np.flatnonzero(out), e, j, b, inverse[out]))
+        alive &= ~out
+    x, rest = np.zeros_like(right), np.flatnonzero(alive)
+    place = np.zeros(n, np.int64)
+    place[rest] = np.arange(len(rest))
+    if len(rest) <= max(dense, core):
+        full = np.zeros((len(rest), 3, len(rest), 3))
+        full[np.arange(len(rest)), :, np.arange(len(rest))] = diag[rest]
+        full[place[row], :, place[col]] = off
+        x[rest] = np.linalg.solve(full.reshape(3 * len(rest), -1), right[rest].ravel()).reshape(-1, 3)
+    else:
+        x[rest] = _conjugate(place[row], place[col], off, diag[rest], right[rest])
+    for out, e, j, b, inverse in reversed(done):
+        pulled = right[out].copy()
+        np.subtract.at(pulled, np.searchsorted(out, e), np.einsum("eij,ej->ei", b, x[j]))
+        x[out] = np.einsum("nij,nj->ni", inverse, pulled)
+    return x
+
+
 def _adjust(nodes: pd.DataFrame, edges: pd.DataFrame, rounds: int, lever: float) -> tuple[np.ndarray, float, float]:
     """Gauss-Newton over x, y and rotation with weights (1 + r^2)^-2 of residuals; the first node stays."""
-    place = {f: i for i, f in enumerate(nodes["frame"])}
+    frames = nodes["frame"].to_numpy()
     at = nodes[["x", "y", "rotation"]].to_numpy(float).copy()
-    a, b = edges["reference"].map(place).to_numpy(), edges["current"].map(place).to_numpy()
+    a, b = np.searchsorted(frames, edges["reference"].to_numpy()), np.searchsorted(frames, edges["current"].to_numpy())
     m, w = edges[["dx", "dy", "turn"]].to_numpy(float), edges["weight"].to_numpy(float)
 
     def residual(p: np.ndarray) -> np.ndarray:
@@ -68,15 +157,20 @@ def _adjust(nodes: pd.DataFrame, edges: pd.DataFrame, rounds: int, lever: float)
         ja[:, 0, 0] = ja[:, 1, 1] = 1
         ja[:, 0, 2], ja[:, 1, 2], ja[:, 2, 2] = -s * m[:, 0] - c * m[:, 1], c * m[:, 0] - s * m[:, 1], -lever
         jb = np.broadcast_to(np.diag([-1.0, -1.0, lever]), ja.shape)
-        blocks, slopes = np.zeros((n, n, 3, 3)), np.zeros((n, 3))
+        slopes, row, col, blocks = np.zeros((n, 3)), [], [], []
         for p, jp in ((a, ja), (b, jb)):
             np.add.at(slopes, p, np.einsum("e,eki,ek->ei", robust, jp, r))
             for q, jq in ((a, ja), (b, jb)):
-                np.add.at(blocks, (p, q), np.einsum("e,eki,ekj->eij", robust, jp, jq))
-        hess, grad = blocks.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n), slopes.ravel()
-        hess[np.arange(3 * n), np.arange(3 * n)] += 1e-6
-        hess[:3, :3] += 1e9 * np.eye(3)
-        step, share = np.linalg.solve(hess, -grad).reshape(n, 3), 1.0
+                row.append(p), col.append(q), blocks.append(np.einsum("e,eki,ekj->eij", robust, jp, jq))
+        row, col, blocks = np.concatenate(row), np.concatenate(col), np.concatenate(blocks)
+        # The first node is left out of the system. Rotations count in the lever's units, and the ridge is small enough for the weak modes of long chains.
+        inner, unit = (row > 0) & (col > 0), np.array([1.0, 1.0, 1 / lever])
+        blocks, own = blocks[inner] * unit[:, None] * unit, np.arange(n - 1)
+        ridge = np.broadcast_to(1e-13 * np.eye(3), (n - 1, 3, 3))
+        step, share = np.zeros((n, 3)), 1.0
+        step[1:] = solved(n - 1, np.r_[row[inner] - 1, own], np.r_[col[inner] - 1, own], np.concatenate([blocks, ridge]), -slopes[1:] * unit) * unit
+        if not np.isfinite(step).all():
+            break
         while share > 1 / 64 and rms(at + share * step) > rms(at) + 1e-9:
             share /= 2
         if share <= 1 / 64:
@@ -91,7 +185,7 @@ def adjusted_poses(nodes: DataFrame, edges: DataFrame, key: Sequence[str], round
     """Nodes with poses that agree best with the measured edges, one solve per component.
 
     The smallest frame of a component stays. A solve that makes the residual larger is not used. A component
-    is a small dense system (keyframes of one visit), so its rows meet in one task.
+    is one sparse system, whatever its size, and its rows meet in one task.
     """
     k = list(key)
     label = components(nodes, edges, key)

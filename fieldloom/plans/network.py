@@ -10,6 +10,7 @@ from fieldloom.functions import image
 from fieldloom.functions import pose as P
 from fieldloom.operators import graph, network
 from fieldloom.plans.registry import query
+from fieldloom.storage import Scratch
 
 MATCH = f"""WITH {SKY}, mt AS (SELECT track, frame, lag(frame) OVER (PARTITION BY track ORDER BY frame) AS reference, kind, 0.85 + (frame % 150)/1000.0::DOUBLE AS score, (64*(1+frame%16))::DOUBLE AS support,
     (frame % 80)/20.0::DOUBLE AS cycle, x, y, rotation FROM sky)"""
@@ -116,19 +117,20 @@ def keyframes(spark, folder):
 
 @query("pose_graph_optimize")
 def pose_graph_optimize(spark, folder):
-    keys = graph.keyframes(path(spark, folder), "video_id", "frame", 20.0)
+    scratch = Scratch(spark, "keyframes")  # each use would fold the tracks again
+    keys = scratch.save(graph.keyframes(path(spark, folder), "video_id", "frame", 20.0), "keys")
     by = Window.partitionBy("video_id").orderBy("frame")
     links = []
     for back in (1, 2):
         then = keys.select("video_id", "frame", P.pose("x", "y", "rotation").alias("b"), F.lag("frame", back).over(by).alias("reference"), F.lag(P.pose("x", "y", "rotation"), back).over(by).alias("a")).where("reference IS NOT NULL")
         rel = then.select("video_id", "reference", F.col("frame").alias("current"), P.relative(F.col("b"), F.col("a")).alias("m"))
         links.append(rel.select("video_id", "reference", "current", (F.col("m.x") + (0.5 if back == 2 else 0.0)).alias("dx"), F.col("m.y").alias("dy"), F.col("m.rotation").alias("turn"), F.lit(float(back)).alias("weight")))
-    # Adjusted in runs of 64 keyframes, the size of a joint solve.
-    runs = keys.withColumn("run", F.floor((F.row_number().over(by) - 1) / 64))
-    at = runs.select("video_id", "run", "frame")
-    edges = links[0].unionByName(links[1]).join(at.withColumnRenamed("frame", "reference"), ["video_id", "reference"])
-    inside = edges.join(at.withColumnRenamed("frame", "current"), ["video_id", "run", "current"])
-    return graph.adjusted_poses(runs, inside, ["video_id", "run"])
+    ends = keys.select("video_id", "frame")
+    matched = _edges(spark, folder).withColumn("weight", F.col("weight").cast("double"))
+    for end in ("reference", "current"):
+        matched = matched.join(ends.withColumnRenamed("frame", end), ["video_id", end], "left_semi")
+    edges = scratch.save(links[0].unionByName(links[1]).unionByName(matched), "edges")
+    return graph.adjusted_poses(keys, edges, ["video_id"])
 
 
 @query("consensus_pose", f"""WITH {PATH}, v AS (SELECT r.video_id, r.frame, r.entry_no AS item, incremental_match.pose.x AS x, incremental_match.pose.y AS y, incremental_match.pose.rotation AS rotation FROM
