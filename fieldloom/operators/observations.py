@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,35 @@ def error_statistics(errors: DataFrame, key: list[str], error: str) -> DataFrame
     return s.select(*key, F.size("s").alias("n"), stats.upper_quantile(F.col("s"), 0.5).alias("median"), "rms", stats.upper_quantile(F.col("s"), 0.95).alias("p95"))
 
 
+def heldout_errors(frames: DataFrame, sigma: float = 1.0, delta: float = 1.5, rounds: int = 8) -> DataFrame:
+    """Distance of every odd point of a frame from the rigid pose that the even points have.
+
+    ``frames`` has ``points`` in their order and the ``step`` of the grid in pixels. The pose is fitted ``rounds`` times, points further off than
+    ``sigma * delta`` weighing less. Points without a finite place do not count; frames of fewer than three
+    points on a side, or without weight, have no errors.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for video, frame, step, p in zip(batch["video_id"], batch["frame_id"], batch["step"], batch["points"]):
+                v = np.array([[q["grid_col"], q["grid_row"], q["x"], q["y"], 1.0 if q["confidence"] is None else q["confidence"]] for q in p if q is not None], float).reshape(-1, 5)
+                v = v[np.isfinite(v).all(axis=1)]
+                q, z, own = step * (v[:, 0] + 1j * v[:, 1]), v[:, 2] + 1j * v[:, 3], v[::2, 4]
+                if len(v) < 6 or not own.sum() > 0:
+                    continue
+                w = own
+                for _ in range(rounds):
+                    mq, mz = (w * q[::2]).sum() / w.sum(), (w * z[::2]).sum() / w.sum()
+                    turn = np.exp(1j * np.angle((w * np.conj(q[::2] - mq) * (z[::2] - mz)).sum()))
+                    off = np.abs(mz + turn * (q - mq) - z)
+                    w = own * np.minimum(1, delta * sigma / np.maximum(off[::2], 1e-20))
+                out += [(video, frame, e) for e in off[1::2]]
+            yield pd.DataFrame(out, columns=["video_id", "frame_id", "error"])
+
+    return frames.select("video_id", "frame_id", "step", "points").mapInPandas(score, "video_id long, frame_id long, error double")
+
+
 def frame_metrics(points: DataFrame, step: float = 1.0) -> DataFrame:
     """Rms of the rigid and of the similarity fit of every enabled frame of three or more points, and its centre."""
     usable = points.where("enabled")

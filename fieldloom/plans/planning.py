@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.adapters import OBSERVATIONS, PATH, SKY, observations, path, pixels, rounded, sky, table
+from fieldloom.adapters import OBSERVATIONS, PATH, SKY, observations, path, pixels, points, rounded, sky, table
+from fieldloom.operators import fits
 from fieldloom.operators import planning as ops
 from fieldloom.operators import windows
+from fieldloom.operators.observations import error_statistics, heldout_errors
 from fieldloom.plans.registry import query
 
 FAILED = "fl AS (SELECT DISTINCT video_id, matched AS reference, frame AS current FROM path WHERE accepted = false AND matched < frame)"
@@ -54,6 +56,18 @@ def quality_verdict(spark, folder):
     return g.select("video_id", ops.quality(F.col("n"), F.col("frames"), F.col("share"), F.col("frames") / 100.0).alias("quality"))
 
 
+@query("heldout_verdict")
+def heldout_verdict(spark, folder):
+    frames = observations(spark, folder).where("enabled AND role = 'validation' AND points IS NOT NULL")
+    # The step of a video's grid is the middle scale of its train frames; there is no calibrated field, so pictures count as they are.
+    scales = fits.rigid_fit(points(spark, folder).where("enabled AND role = 'train'"), ["video_id", "frame_id"]).where("n >= 3")
+    errors = heldout_errors(frames.join(scales.groupBy("video_id").agg(F.median("scale").alias("step")), "video_id"))
+    scored = errors.groupBy("video_id").agg(F.count_distinct("frame_id").alias("scored"))
+    g = frames.groupBy("video_id").agg(F.count("*").alias("frames")).join(scored, "video_id", "left").join(error_statistics(errors, ["video_id"], "error"), "video_id", "left")
+    share = F.coalesce("scored", F.lit(0)) / F.col("frames")
+    return g.select("video_id", "frames", F.coalesce("n", F.lit(0)).alias("n"), share.alias("share"), "rms", "p95", ops.quality(F.col("n"), F.col("frames"), share, F.col("p95")).alias("quality"))
+
+
 @query("role_assignment", f"""WITH {OBSERVATIONS}, d AS (SELECT video_id, max(timestamp_us) AS t FROM obs GROUP BY video_id) SELECT frame_id, coalesce(role, CASE WHEN timestamp_us >= t*0.8 THEN 'validation' ELSE 'train' END) AS role FROM obs JOIN d USING (video_id)""")
 def role_assignment(spark, folder):
     o = observations(spark, folder)
