@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.subject_terms import ASIDES, weighted_terms
 from fieldloom.storage import Scratch
 
-#: An area is assigned from this share of the weighted hits and this many hits; calibrated by ``calibrate``.
+#: An area is assigned from this share of the weighted hits and this many hits; both are set by hand.
 LEAST_SHARE, LEAST_HITS = 0.07, 2.0
 #: At most so many areas of a text, the strongest ones.
 MOST_AREAS = 2
