@@ -68,11 +68,10 @@ def closed_loops(path: DataFrame, closures: DataFrame, track: str, order: str) -
 
 
 def _beside(by_track: list[str], order: str, value: Column) -> tuple[Column, Column]:
-    w = Window.partitionBy(*by_track).orderBy(order)
-    return (
-        F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    )
+    """The last known ``value`` up to each row and the first from it on; both frames run, the second from the end."""
+    w = Window.partitionBy(*by_track)
+    known = F.last(value, ignorenulls=True)
+    return tuple(known.over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc(order), F.desc(order)))
 
 
 def between_anchors(path: DataFrame, anchors: DataFrame, track: str, order: str) -> DataFrame:
@@ -166,10 +165,9 @@ def closest_in_time(asks: DataFrame, samples: DataFrame, track: str, time: str,
     """
     rows = asks.select(track, time, "ask", F.lit(None).cast(samples.schema[value].dataType).alias(value)).unionByName(samples.select(track, time, F.lit(None).cast(asks.schema["ask"].dataType).alias("ask"), value))
     mark = F.when(F.col(value).isNotNull(), F.struct(time, value))
-    by = Window.partitionBy(track).orderBy(time, F.col(value).isNull())
-    left = F.last(mark, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    later = Window.partitionBy(track).orderBy(time, F.col(value).isNotNull())
-    right = F.first(mark, ignorenulls=True).over(later.rowsBetween(0, Window.unboundedFollowing))
+    by, known = Window.partitionBy(track), F.last(mark, ignorenulls=True)
+    left = known.over(by.orderBy(time, F.col(value).isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    right = known.over(by.orderBy(F.desc(time), F.col(value).isNull()).rowsBetween(Window.unboundedPreceding, 0))
     near = rows.withColumns({"l": left, "r": right}).where("ask IS NOT NULL")
     use_left = F.col("r").isNull() | (F.col(time) - F.col(f"l.{time}") < F.col(f"r.{time}") - F.col(time))
     return near.select("ask", F.when(use_left, F.col(f"l.{value}")).otherwise(F.col(f"r.{value}")).alias(value))
