@@ -5,7 +5,7 @@ stuck (one of several successive readings that are exactly equal). Spikes are fo
 thresholding: the reading less its running median, its first and its second difference are points in
 a space in which a robust ellipsoid, its axes scaled by median deviations and by the expected maximum
 of as many normal values, holds the usual ones. Readings outside are replaced by interpolation and
-the ellipsoid is applied again until none is left. A candidate is then kept if it, or the short run
+the ellipsoid is applied again until none is new. A candidate is then kept if it, or the short run
 that it is in, lies far from the course on both sides while both sides agree.
 
 A source may hold any part of all rows, so it is cut into chunks of the order column. One pass takes
@@ -52,8 +52,8 @@ STUCK = 6
 APART, LONGEST, COURSE = 8.0, 5, 3
 #: Share of a spike's height by which the courses before and after it may differ.
 RETURN = 0.5
-#: Fewest readings by which a scatter is judged; rounds of the ellipsoid at most.
-FEWEST, ROUNDS = 8, 20
+#: A spike needs a reading of the course on either side.
+FEWEST = 3
 
 
 def possible(values: np.ndarray, field: Field) -> np.ndarray:
@@ -77,11 +77,19 @@ def _distance(values: np.ndarray) -> np.ndarray:
 
 
 def usual_scatter(values: np.ndarray, steps: bool) -> float:
-    """The usual step between neighbours, or the deviation that such steps have about a level."""
-    if len(values) < FEWEST:
+    """The usual step between neighbours, or the deviation that such steps have about a level.
+
+    Where most steps are exactly 0 it is the usual one of the others, and 0 where a course does not move but for
+    one departure (two steps at most). NaN of fewer than two readings.
+    """
+    if len(values) < 2:
         return float("nan")
-    step = float(_middle(_distance(np.diff(values, axis=0))))
-    return step if steps else step / 0.6745 / np.sqrt(2)
+    step = np.sort(_distance(np.diff(values, axis=0)))
+    usual = step[(len(step) - 1) // 2]
+    if usual == 0:
+        moving = step[step > 0]
+        usual = moving[(len(moving) - 1) // 2] if len(moving) > 2 else 0.0
+    return float(usual if steps else usual / 0.6745 / np.sqrt(2))
 
 
 def _middle(values: np.ndarray) -> np.ndarray:
@@ -106,7 +114,11 @@ def _slope(values: np.ndarray) -> np.ndarray:
 
 
 def phase_space(series: np.ndarray) -> np.ndarray:
-    """Which rows have a column outside its ellipsoid of value, first and second difference in any round."""
+    """Which rows have a column outside its ellipsoid of value, first and second difference in any round.
+
+    The axes are those of the first round: medians are not moved by spikes, and an ellipsoid that shrank
+    with every reading taken out would in the end hold none.
+    """
     n = len(series)
     out = np.zeros(series.shape, bool)
     if n < FEWEST:
@@ -114,15 +126,18 @@ def phase_space(series: np.ndarray) -> np.ndarray:
     reach = np.sqrt(2 * np.log(n))
     now = series.copy()
     place = np.arange(n)
-    for _ in range(ROUNDS):
+    usual: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:  # every round but the last flags a reading more
         u = now - _running_median(now, 2 * LONGEST + 1)
         du = _slope(u)
         total = np.zeros(series.shape)
-        for axis in (u, du, _slope(du)):
-            off = np.abs(axis - _middle(axis))
-            scale = _middle(off) / 0.6745
+        for k, axis in enumerate((u, du, _slope(du))):
+            if k == len(usual):
+                centre = _middle(axis)
+                usual.append((centre, _middle(np.abs(axis - centre)) / 0.6745))
+            off, scale = np.abs(axis - usual[k][0]), usual[k][1]
             with np.errstate(divide="ignore", invalid="ignore"):
-                total += np.where(scale > 0, (axis / (reach * scale)) ** 2, np.where(off > 0, 2.0, 0.0))
+                total += np.where(scale > 0, (off / (reach * scale)) ** 2, np.where(off > 0, 2.0, 0.0))
         new = (total > 1) & ~out
         if not new.any() or (out | new).all(axis=0).any():
             break
@@ -171,10 +186,11 @@ def _standing_apart(values: np.ndarray, candidate: np.ndarray, scale: float) ->
 def spikes(values: np.ndarray, scale: float) -> np.ndarray:
     """Which rows are spikes: candidates of the phase space that stand apart from a course that goes on.
 
-    The rows found are taken out and the rest is judged again, as a spike may hide another near it.
+    The rows found are taken out and the rest is judged again, as a spike may hide another near it. A
+    scale of 0 is that of a course that stands still: any departure that comes back is a spike.
     """
     found = np.zeros(len(values), bool)
-    if not scale > 0:
+    if not scale >= 0:
         return found
     while True:
         left = np.flatnonzero(~found)
@@ -242,7 +258,9 @@ def flag_faults(df: DataFrame, source: str, order: str, item: str, fields: Seque
     identifier of a result, which breaks ties of place. Rows with a null in any of them are left
     out, copies of an item at its place count once. Each field comes with the columns of its values; it
     is missing where any of them is null, and then never faulty. NaN and infinity are readings that
-    are impossible. An empty table gives no rows; further columns are ignored.
+    are impossible. An empty table gives no rows; further columns are ignored. The scatter of a source is the
+    median over its chunks; where no chunk has two readings it is that of the readings around each chunk. The
+    first and the last reading of a source have no course on one side and are never spikes.
     """
     specs = [f for f, _ in fields]
     names = [f"v{i}" for i in range(sum(len(f.columns) for f in specs))]
@@ -292,7 +310,8 @@ def flag_faults(df: DataFrame, source: str, order: str, item: str, fields: Seque
     )
     parts = max(len(f.parts) for f in specs)
     scales = summed.groupBy("source", "field").agg(
-        *[F.expr(f"percentile(if(isnan(get(scale, {p})), null, get(scale, {p})), 0.5D, greatest(n, 1L))").alias(f"p{p}") for p in range(parts)]
+        # A chunk that stands still says nothing where others move.
+        *[F.expr(f"coalesce(percentile(if(isnan(get(scale, {p})) OR get(scale, {p}) = 0, null, get(scale, {p})), 0.5D, greatest(n, 1L)), max(if(get(scale, {p}) = 0, 0D, null)))").alias(f"p{p}") for p in range(parts)]
     )
     context = (
         beside.join(scales, ["source", "field"])
@@ -332,7 +351,11 @@ def flag_faults(df: DataFrame, source: str, order: str, item: str, fields: Seque
                     pick = np.flatnonzero(side_kind == kind)
                     beyond.append(side_values[pick[np.argsort(side_at[pick])]][:, : v.shape[1]])
                 before, after = beyond
-                bad = faults(np.concatenate([before, v, after]), field, scale)[len(before) : len(before) + len(v)]
+                series = np.concatenate([before, v, after])
+                if np.isnan(scale).any():  # no chunk of the source has two readings: its steps are those from chunk to chunk
+                    free = series[possible(series, field) & (equal_runs(series) < STUCK)]
+                    scale = np.where(np.isnan(scale), [usual_scatter(free[:, list(p)], field.steps) for p in field.parts], scale)
+                bad = faults(series, field, scale)[len(before) : len(before) + len(v)]
                 if bad.any():
                     hit = items[at[bad]]
                     yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array([labels[k]] * len(hit), pa.string())], names=[item, "field"])

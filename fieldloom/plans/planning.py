@@ -85,4 +85,4 @@ def display_range(spark, folder):
 @query("brightness_fit")
 def brightness_fit(spark, folder):
     cells = pixels(spark, folder).select("image", F.posexplode("gray").alias("p", "v")).select("image", F.floor(F.col("p") / 8).alias("row"), (F.col("p") % 8).alias("col"), F.col("v").cast("double").alias("value"))
-    return rounded(ops.fitted_brightness(cells, "image", 4)[1], 6)
+    return rounded(ops.fitted_brightness(cells, "image")[1], 6)

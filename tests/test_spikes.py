@@ -81,3 +81,25 @@ def test_chunks_change_nothing(spark, monkeypatch):
 def test_nothing(spark):
     df = spark.createDataFrame([], "v bigint, frame bigint, entry bigint, score double")
     assert s.flag_faults(df, "v", "frame", "entry", [(SCORE, [df.score])]).count() == 0
+
+
+def test_few_readings_and_still_courses():
+    v = _series(7)
+    v[3] = -0.9
+    assert _faults(v) == {3} and _faults(v[1:6]) == {2}
+    # Runs of three equal readings: most steps are 0.
+    v = np.repeat(_series(20), 3)
+    v[30] = -0.9
+    assert _faults(v) == {30}
+    # A course of short still runs that does not move but for one departure.
+    v = np.array([0.5] * 5 + [0.9] + [0.5] * 5)
+    assert _faults(v) == {5}
+    assert _faults(np.array([0.5, 0.5])) == set() and _faults(np.array([0.5])) == set()
+
+
+def test_sparse_source(spark):
+    v = _series(40)
+    v[20] = -0.9
+    df = spark.createDataFrame([(1, i * 1_000_000, i, float(v[i])) for i in range(40)], "s int, t long, e long, v double")
+    got = s.flag_faults(df, "s", "t", "e", [(SCORE, [df["v"]])]).collect()
+    assert [(r.e, r.field) for r in got] == [(20, "score")]
