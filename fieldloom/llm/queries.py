@@ -54,7 +54,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.subject_areas(_table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "area")
+    found = subjects.subject_areas(_table(spark, folder, "documents"), _table(spark, folder, "area_labels"), "doc_id", "text")
+    return found.select("doc_id", "area")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

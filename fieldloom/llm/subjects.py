@@ -2,10 +2,12 @@
 
 A text is normalised (entities, markup, wrong encodings, broken lines, blanks) and folded, so that letters
 which optical recognition confuses are equal; the terms are folded alike. One pass of the automaton
-finds all terms and the wordings of asides, that is of sentences that name another field in passing;
-terms in such sentences do not count. Each area's hits are weighted by the rarity of their terms among
-all texts and divided by the weight of all hits of the text, and every area above the thresholds is
-assigned. The automaton has some 750 terms; the rarities are one number for each of them.
+finds all terms and the cues by which a sentence sets another field apart; terms in such sentences do
+not count. A hit weighs the term's curated weight times its rarity among all texts times its specificity, the
+share that its area has of the other hits in the texts that it occurs in. An area's score is the weight of
+its hits over that of all hits and of a background that grows with the length of the text, and every area whose score
+reaches its threshold is assigned. The thresholds are calibrated per area on labelled texts. What is sent to
+the driver or broadcast is one number for each curated term or for each area and step of the score.
 """
 
 from __future__ import annotations
@@ -17,24 +19,28 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.subject_terms import ASIDES, weighted_terms
+from fieldloom.llm.subject_terms import AREAS, cues, weighted_terms
 from fieldloom.storage import Scratch
 
-#: An area is assigned from this share of the weighted hits and this many hits; both are set by hand.
-LEAST_SHARE, LEAST_HITS = 0.07, 2.0
-#: At most so many areas of a text, the strongest ones.
-MOST_AREAS = 2
+#: Weight of the background for each thousand letters of a text, a Chinese sign counting as three letters.
+BACKGROUND = 2.0
+#: Texts that a specificity of 1 is taken for in advance, and labels that those of all areas count as for each area.
+PRIOR_TEXTS, PRIOR_LABELS = 20, 50
+#: Labelled texts that the thresholds are calibrated on at most, those of the smallest hashes; steps of the score.
+LABELLED, STEPS = 20_000, 100
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _PAGE = re.compile(r"\n[ \t]*-[ \t]*\d+[ \t]*-[^\n]*(?=\n)")
 _BREAK = re.compile(r"(?:­|(?<=\w)-)[ \t]*\r?\n[ \t]*(?=[a-zà-öø-ÿ])|­")
 _CP1252 = {c: bytes([b]) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "replace")) != "�"}
 _WRONG = re.compile("[\u0080-ÿ" + "".join(map(re.escape, _CP1252)) + "]{2,}")
 _HAN_BLANK = re.compile(r"(?<=[㐀-鿿])\s+(?=[㐀-鿿])")
+_HAN = re.compile("[⺀-鿿]")
 _MARKS = re.compile("[̀-ͯ]+")
 _FOLD = (("1", "l"), ("|", "l"), ("i", "l"), ("0", "o"), ("c", "e"), ("f", "t"), ("rn", "m"))
 _FOLD_WIDE = (("’", "'"), ("​", ""), ("﻿", ""))
@@ -77,16 +83,16 @@ def fold(text: str) -> str:
 
 
 class TermFinder:
-    """The automaton over terms and asides."""
+    """The automaton over terms and the cues of asides."""
 
-    def __init__(self, terms: Sequence[str], asides: Sequence[str]):
+    def __init__(self, terms: Sequence[str], cues: Sequence[str]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         patterns: dict[str, list[int]] = {}
         for i, term in enumerate(terms):
             patterns.setdefault(fold(term), []).append(i)
-        for phrase in asides:
+        for phrase in cues:
             patterns.setdefault(fold(phrase), []).append(-1)
         for pattern, ids in patterns.items():
             self.automaton.add_word(pattern, (len(pattern), tuple(ids), not pattern.isascii()))
@@ -94,7 +100,9 @@ class TermFinder:
 
     def find(self, text: str) -> Counter[int]:
         """How often each term occurs outside asides; a term within a longer one does not count."""
-        text = fold(clean_text(text))
+        return self.find_folded(fold(clean_text(text)))
+
+    def find_folded(self, text: str) -> Counter[int]:
         hits: list[tuple[int, int, int]] = []
         asides: list[tuple[int, int]] = []
         for last, (length, ids, free) in self.automaton.iter(text):
@@ -129,77 +137,106 @@ class TermFinder:
 
 @lru_cache(maxsize=1)
 def _finder() -> TermFinder:
-    return TermFinder([term for _, term, _ in weighted_terms()], ASIDES)
+    return TermFinder([term for _, term, _ in weighted_terms()], cues())
 
 
 def term_hits(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(``key``, ``term``, ``hits``) for every curated term found in a text, by its place in the list."""
+    """(``key``, ``length``, ``term``, ``hits``) for every curated term found in a text, by its place in the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder()
         for batch in batches:
-            at, terms, hits = [], [], []
+            at, sizes, terms, hits = [], [], [], []
             for row, value in enumerate(batch.column(1)):
                 if value.is_valid:
-                    for term, n in finder.find(value.as_py()).items():
-                        at.append(row)
-                        terms.append(term)
-                        hits.append(n)
+                    folded = fold(clean_text(value.as_py()))
+                    if found := finder.find_folded(folded):
+                        wide = 0 if folded.isascii() else len(_HAN.findall(folded))
+                        at += [row] * len(found)
+                        sizes += [len(folded) + 2 * wide] * len(found)
+                        terms += found.keys()
+                        hits += found.values()
             keys = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(terms, pa.int32()), pa.array(hits, pa.int64())], names=["key", "term", "hits"])
+            columns = [keys, pa.array(sizes, pa.int64()), pa.array(terms, pa.int32()), pa.array(hits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "length", "term", "hits"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"key {kind}, term int, hits long")
-
+    return df.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"key {kind}, length long, term int, hits long")
 
-def area_scores(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(``key``, ``area``, ``share``, ``hits``) of every area with a hit in a text.
 
-    A text's share of an area is the weight of its hits over that of all hits of the text; a hit weighs
-    the term's weight times the logarithm of one in how many of the texts with hits has the term.
-    """
-    spark = df.sparkSession
-    found = Scratch(spark, "subjects").save(term_hits(df, key, text), "hits")
+def _rarity(found: DataFrame) -> DataFrame:
+    """(``term``, ``area``, ``weight``): one row for each curated term that occurs, its weight times its rarity."""
+    spark = found.sparkSession
     held = found.groupBy("term").agg(F.count_distinct("key").alias("held"))
     total = found.agg(F.count_distinct("key").alias("total"))
     terms = spark.createDataFrame([(i, a, w) for i, (a, _, w) in enumerate(weighted_terms())], "term int, area string, weight double")
-    # One row for each curated term.
-    rarity = terms.join(held, "term").crossJoin(total).select("term", "area", (F.col("weight") * F.log(1 + F.col("total") / F.col("held"))).alias("weight"))
-    scored = found.join(F.broadcast(rarity), "term").groupBy("key", "area").agg(
-        F.sum(F.col("hits") * F.col("weight")).alias("score"), F.sum("hits").alias("hits")
+    return terms.join(held, "term").crossJoin(total).select("term", "area", (F.col("weight") * F.log(1 + F.col("total") / F.col("held"))).alias("weight"))
+
+
+def _specificity(found: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(``term``, ``specific``): the mean share of its area among the other hits of the texts with a term."""
+    rows = found.join(F.broadcast(rarity), "term").select("key", "term", "area", (F.col("hits") * F.col("weight")).alias("w"))
+    of_area = rows.groupBy("key", "area").agg(F.sum("w").alias("a"))
+    of_text = of_area.groupBy("key").agg(F.sum("a").alias("all"), F.map_from_entries(F.collect_list(F.struct("area", "a"))).alias("parts"))  # twelve areas at most
+    others = F.col("all") - F.col("w")
+    share = F.when(others > 1e-9 * F.col("all"), (F.expr("parts[area]") - F.col("w")) / others)
+    mean = (F.coalesce(F.sum(share), F.lit(0.0)) + PRIOR_TEXTS) / (F.count(share) + PRIOR_TEXTS)
+    return rows.join(of_text, "key").groupBy("term").agg(mean.alias("specific"))
+
+
+def area_scores(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(``key``, ``area``, ``score``, ``hits``) of every area with a hit in a text."""
+    scratch = Scratch(df.sparkSession, "subjects")
+    found = scratch.save(term_hits(df, key, text), "hits")
+    rarity = scratch.save(_rarity(found), "rarity")
+    terms = scratch.save(rarity.join(_specificity(found, rarity), "term").select("term", "area", (F.col("weight") * F.col("specific")).alias("weight")), "terms")
+    scored = found.join(F.broadcast(terms), "term").groupBy("key", "area").agg(
+        F.sum(F.col("hits") * F.col("weight")).alias("score"), F.sum("hits").alias("hits"), F.max("length").alias("length")
     )
-    parts = scored.groupBy("key").agg(F.collect_list(F.struct("area", "score", "hits")).alias("areas"), F.sum("score").alias("all"))
-    return parts.select(F.col("key").alias(key), F.inline("areas"), "all").select(key, "area", (F.col("score") / F.col("all")).alias("share"), "hits")
+    parts = scored.groupBy("key").agg(F.collect_list(F.struct("area", "score", "hits")).alias("areas"), (F.sum("score") + BACKGROUND * F.max("length") / 1000).alias("all"))
+    return parts.select(F.col("key").alias(key), F.inline("areas"), "all").select(key, "area", (F.col("score") / F.col("all")).alias("score"), "hits")
 
 
-def subject_areas(df: DataFrame, key: str, text: str, least_share: float = LEAST_SHARE, least_hits: float = LEAST_HITS, most: int = MOST_AREAS) -> DataFrame:
-    """(``key``, ``area``, ``share``, ``hits``) of the areas that each text belongs to.
+def subject_areas(df: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """(``key``, ``area``, ``score``, ``hits``) of the areas that each text belongs to.
 
-    The key is unique; rows with a null key, and null, empty, blank or unreadable texts, have no area.
-    Equal shares are ranked by name. Texts are searched whole, whatever their length. A repeated key
-    counts as one text with the hits of all its rows. Further columns are ignored.
+    ``labels`` (``key``, ``area``) are areas of some of the texts and may be wrong, repeated or unknown. The key is
+    unique; rows with a null key, and null, empty, blank or unreadable texts, have no area. Texts are searched whole,
+    whatever their length, and get every area that reaches its threshold. A repeated key counts as one text with the hits of all
+    its rows and the length of the longest. Further columns are ignored.
     """
-    scores = area_scores(df, key, text).where((F.col("share") >= least_share) & (F.col("hits") >= least_hits))
-    ranked = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "area", "hits"))).alias("a"))
-    return ranked.select(key, F.inline(F.slice("a", 1, most))).select(key, "area", (-F.col("s")).alias("share"), "hits")
+    scores = Scratch(df.sparkSession, "scores").save(area_scores(df, key, text), "scores")
+    limits = df.sparkSession.createDataFrame(sorted(calibrate(scores, labels, key).items()), "area string, least double")
+    return scores.join(F.broadcast(limits), "area").where(F.col("score") >= F.col("least")).select(key, "area", "score", "hits")
 
 
-def calibrate(scores: DataFrame, labels: DataFrame, key: str, bound: int = 20_000, steps: int = 50) -> float:
-    """The share threshold with the best F1 against labels of at most ``bound`` texts, those of the smallest hashes.
+def _plateau(f1: np.ndarray) -> float:
+    """The middle of the first run of steps at which ``f1`` is greatest."""
+    top = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    gap = np.flatnonzero(np.diff(top) > 1)
+    return float(top[: gap[0] + 1 if len(gap) else None].mean())
 
-    Labels are compared without regard to case and outer blanks, repeated ones count once.
+
+def calibrate(scores: DataFrame, labels: DataFrame, key: str, bound: int = LABELLED) -> dict[str, float]:
+    """The least score of every area, that with the best F1 on at most ``bound`` labelled texts.
+
+    Labels are compared without regard to case and outer blanks, repeated ones count once. An area is judged
+    by its own counts and, as if they were ``PRIOR_LABELS`` more labels, by those of all areas; of a run of equally
+    good steps the middle is taken. Without any label it is 0.07.
     """
-    clean = labels.select(key, F.lower(F.trim("area")).alias("area")).dropna().distinct()
+    names = sorted(AREAS)
+    clean = labels.select(key, F.lower(F.trim("area")).alias("area")).dropna().where(F.col("area").isin(names)).distinct()
     chosen = clean.select(key).distinct().orderBy(F.xxhash64(key)).limit(bound)
-    both = scores.join(chosen, key).join(clean.withColumn("given", F.lit(1)), [key, "area"], "full_outer")
-    counted = (
-        both.select(F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "share", "given")
-        .groupBy("step")
-        .agg(
-            F.sum(F.expr(f"int(share >= step / {steps} AND given = 1)")).alias("hit"),
-            F.sum(F.expr(f"int(coalesce(share >= step / {steps}, false))")).alias("said"),
-            F.sum(F.coalesce("given", F.lit(0))).alias("real"),
-        )
-    )
-    best = counted.select("step", (2 * F.col("hit") / (F.col("said") + F.col("real"))).alias("f1")).orderBy(F.desc("f1"), "step").first()
-    return best["step"] / steps if best else LEAST_SHARE
+    both = scores.join(chosen, key, "left_semi").join(clean.join(chosen, key, "left_semi").withColumn("given", F.lit(1)), [key, "area"], "full_outer")
+    step = F.when(F.col("score").isNull(), -1).otherwise(F.least(F.lit(STEPS - 1), F.floor(F.col("score") * STEPS)))
+    cells = both.groupBy("area", step.cast("int").alias("step"), F.coalesce("given", F.lit(0)).alias("given")).agg(F.count("*").alias("n"))
+    counts = np.zeros((len(names), STEPS + 1, 2))  # the last column is that of labels without a hit
+    for r in cells.collect():  # one row for each area, step and answer at most
+        counts[names.index(r["area"]), r["step"], r["given"]] = r["n"]
+    real = counts[..., 1].sum(axis=1)
+    if not real.sum():
+        return dict.fromkeys(names, 0.07)
+    mixed = counts + counts.sum(axis=0) * (PRIOR_LABELS / real.sum())
+    upward = mixed[:, STEPS - 1 :: -1].cumsum(axis=1)[:, ::-1]  # counts from each step on
+    f1 = 2 * upward[..., 1] / (upward.sum(axis=2) + real[:, None] + PRIOR_LABELS)
+    return {name: _plateau(f1[i]) / STEPS for i, name in enumerate(names)}

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -70,6 +72,36 @@ def test_every_term_finds_its_area():
     assert set(AREAS) == {a for a, _, _ in terms} and len(AREAS) == 12
 
 
+def test_ordinary_sentences_of_each_field():
+    texts = {
+        "medicine": "The surgeon gave antibiotics to the patient after the diagnosis.",
+        "chemistry": "The catalyst speeds up the polymerisation of the monomer in toluene.",
+        "software": "The compiler and the operating system run the sorting algorithm.",
+        "telecom": "The antenna of the mobile phone sends data packets to the access point.",
+        "agriculture": "The tractor spreads fertilizer before the crops are sown; cattle stay on the pasture.",
+        "vehicles": "Das Kraftfahrzeug hat ein Getriebe und eine Bremsscheibe.",
+        "energy": "L'éolienne charge la batterie lithium-ion par un redresseur.",
+        "textiles": "The woven fabric of cotton fibre is sewn on a sewing machine.",
+        "construction": "混凝土桥梁的地基和钢梁。",
+        "optics": "The microscope has a lens of short focal length and a laser.",
+        "food": "The dough is baked into bread; butter and sugar are added.",
+        "sport": "The athlete plays football and basketball in the stadium.",
+    }
+    finder, terms = subjects._finder(), subjects.weighted_terms()
+    for area, text in texts.items():
+        hits = Counter()
+        for term, n in finder.find(text).items():
+            hits[terms[term][0]] += n
+        assert hits.most_common(1)[0][0] == area and hits[area] >= 2, (area, hits)
+
+
+def _areas(spark, df, labels=()):
+    found = {}
+    for r in subjects.subject_areas(df, spark.createDataFrame(list(labels), "doc_id bigint, area string"), "doc_id", "text").collect():
+        found.setdefault(r.doc_id, set()).add(r.area)
+    return found
+
+
 def test_subjects_of_texts(spark):
     rows = [
         (1, "A stent and a catheter. A CATHETER holds the stent; the c1utch plate is none. The term was borrowed from the solar module."),
@@ -77,16 +109,21 @@ def test_subjects_of_texts(spark):
         (3, "包括变矩器和传动轴，以及制动钳。类似原理见于基站，但不属于本发明。"),
         (4, None), (5, ""), (6, " \n\t"), (7, "This publication was withdrawn before grant."), (None, "a stent and a stent"),
         (8, "hash table hash table " * 3 + "lens barrel, eyepiece, lens barrel, prism face. " + "semester polyester"), (9, "stent catheter " * 60_000),
+        (10, "zeolite, ester; zeolite, ester. brake caliper, wheel hub; brake caliper, wheel hub. bobbin, shuttle; bobbin, shuttle."),
+        (11, "stent <span class='" + "x" * 500 + " brake caliper, brake caliper, brake caliper'> catheter"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, area string")
-    found = {}
-    for r in subjects.subject_areas(df, "doc_id", "text").collect():
-        found.setdefault(r.doc_id, set()).add(r.area)
-    assert found == {1: {"medicine"}, 2: {"medicine"}, 3: {"vehicles"}, 8: {"software", "optics"}, 9: {"medicine"}}
-    assert subjects.subject_areas(df.limit(0), "doc_id", "text").count() == 0
+    assert _areas(spark, df) == {
+        1: {"medicine", "vehicles"}, 2: {"medicine"}, 3: {"vehicles"}, 8: {"software", "optics"}, 9: {"medicine"}, 10: {"chemistry", "vehicles", "textiles"}, 11: {"medicine"},
+    }
+    assert _areas(spark, df.limit(0)) == {}
+    assert _areas(spark, df, [(1, "Medicine "), (2, "medicine"), (10, "chemistry"), (10, "nonsense"), (None, "food"), (3, None)])[2] == {"medicine"}
 
 
 def test_calibration(spark):
-    scores = spark.createDataFrame([(d, "a", 0.9) for d in range(20)] + [(d, "b", 0.1) for d in range(20)], "doc_id int, area string, share double")
-    labels = spark.createDataFrame([(d, " A") for d in range(20)] + [(3, None), (None, "a")], "doc_id int, area string")
-    assert 0.1 < subjects.calibrate(scores, labels, "doc_id") <= 0.9
+    rows = [(d, "food", 0.9, 5) for d in range(20)] + [(d, "sport", 0.1, 3) for d in range(20)] + [(99, "food", 0.9, 1)]
+    scores = spark.createDataFrame(rows, "doc_id int, area string, score double, hits long")
+    labels = spark.createDataFrame([(d, " Food") for d in range(20)] + [(3, None), (None, "food"), (4, "cooking")], "doc_id int, area string")
+    least = subjects.calibrate(scores, labels, "doc_id")
+    assert set(least) == set(AREAS) and all(0.1 < v < 0.9 for v in least.values())
+    assert subjects.calibrate(scores, labels.limit(0), "doc_id") == dict.fromkeys(sorted(AREAS), 0.07)
