@@ -3,12 +3,16 @@
 The merges are compiled one after another, in their order, by a merge gadget. The automaton's states
 are the tokens (the one read last) and its arcs are labelled with the token read next; at first it
 has the 256 bytes, each following each. The gadget of the merge ``u v -> w`` adds the state and label
-``w``, which can be entered as ``u`` can and left as ``v`` can, and takes out every arc at which, at
+``w``, which is entered where ``u`` is and left as ``v`` is, and takes out every arc at which, at
 the time of that merge, a ``u`` would stand directly before a ``v``. A path of the finished automaton
 that spells a word is therefore the one tokenization that the merges give, and there is exactly one.
 
-Words are encoded by following arcs over their bytes through a transition table, which is filled with
-an arc when it is first met, and decoded by emitting the labels' bytes.
+A state leaves as its right part does but for the arcs that later gadgets took out of it, and labels are
+numbered so that what a gadget takes out is one interval. So all arcs, some two thousand millions, are held as one
+interval for each merge. For encoding the automaton is spelled out in bytes and made deterministic; its
+transition table is filled as states are first met. Words run through the table byte by byte, no step
+is ever taken back, and as every prefix of a word has exactly one path too, each state has one last token:
+the tokens of the word are read off from its end. Decoding emits the labels' bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import json
 import os
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,6 +36,8 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters of texts that are split at a time, and encoded words that a worker remembers.
 BLOCK_BYTES, MEMORY = 4 << 20, 400_000
+#: Transitions that a worker keeps; beyond, the table is started anew between two words.
+TRANSITIONS = 2_000_000
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -57,28 +64,66 @@ class MergeAutomaton:
         self.label: list[bytes] = [b""] * size
         for piece, token in vocab.items():
             self.label[token] = piece
-        # The left and right part of each token and the step at which its gadget was added.
+        # A state leaves as ``right`` did when its gadget was added at step ``born``, and is entered as ``left``.
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
-        self.gadget: dict[tuple[int, int], int] = {}
+        # What gadgets took out of each state: steps, rising, and labels at first, intervals of places once laid out.
+        self.out_step: dict[int, list[int]] = {}
+        self.out_label: dict[int, list[int]] = {}
+        taken: set[tuple[int, int]] = set()
         for step, (u, v) in enumerate(merges):
-            self._add(step, vocab[u], vocab[v], vocab[u + v])
-        self._ends: dict[int, list[tuple[int, int]]] = {}
-        self._starts: dict[int, list[tuple[int, int]]] = {}
+            if (pair := (vocab[u], vocab[v])) not in taken:
+                taken.add(pair)
+                self._gadget(step, *pair, vocab[u + v])
+        self._lay_out()
         self._arcs: dict[int, bool] = {}
-        # The labels as a table of byte transitions: node << 8 | byte -> node, node -> token.
+        self.sound = [self._sound(t) for t in range(size)]
+        # The labels as a tree of bytes: node << 8 | byte -> node, node -> token.
         self.step: dict[int, int] = {}
-        self.token = [-1]
+        self.token, self.inner = [-1], [True]
         for piece in sorted(vocab):
             if piece:
                 self._spell(piece, vocab[piece])
-        self.byte = [vocab.get(bytes([b]), -1) for b in range(256)]
-        self.sound = [self._sound(t) for t in range(size)]
+        self._restart()
 
-    def _add(self, step: int, u: int, v: int, w: int) -> None:
+    def _gadget(self, step: int, u: int, v: int, w: int) -> None:
         """The merge gadget: w enters as u and leaves as v, and u no longer stands before v."""
-        self.gadget.setdefault((u, v), step)
-        if self.born[w] < 0:
+        if self.born[w] < 0 and len(self.label[w]) > 1:
             self.left[w], self.right[w], self.born[w] = u, v, step
+        self.out_step.setdefault(u, []).append(step)
+        self.out_label.setdefault(u, []).append(v)
+
+    def _lay_out(self) -> None:
+        """Places of the labels in which those that begin with a label, from a step on, are an interval.
+
+        Labels follow the one that they begin with, the later ones first: so the labels that still begin with
+        ``v`` at a step come right after ``v``.
+        """
+        later: dict[int, list[int]] = {}
+        for w, u in enumerate(self.left):
+            if u >= 0:
+                later.setdefault(u, []).append(w)
+        for w in later.values():
+            w.sort(key=lambda t: -self.born[t])
+        self.place, end = [0] * len(self.label), [0] * len(self.label)
+        todo, at = [~t if leave else t for t in range(len(self.label)) if self.left[t] < 0 for leave in (False, True)][::-1], 0
+        while todo:
+            t = todo.pop()
+            if t < 0:
+                end[~t] = at
+                continue
+            self.place[t] = at
+            at += 1
+            for w in reversed(later.get(t, ())):
+                todo += [~w, w]
+        self.out_low: dict[int, np.ndarray] = {}
+        self.out_high: dict[int, np.ndarray] = {}
+        for u, labels in self.out_label.items():
+            high = []
+            for step, v in zip(self.out_step[u], labels, strict=True):
+                begun = later.get(v, [])
+                n = bisect_left(begun, -step + 1, key=lambda t: -self.born[t])  # of equal merges the left one comes first
+                high.append(end[begun[n - 1]] if n else self.place[v] + 1)
+            self.out_low[u], self.out_high[u] = np.array([self.place[v] for v in labels]), np.array(high)
 
     def _spell(self, piece: bytes, token: int) -> None:
         node = 0
@@ -88,76 +133,87 @@ class MergeAutomaton:
             if nxt is None:
                 nxt = self.step[key] = len(self.token)
                 self.token.append(-1)
+                self.inner.append(False)
+                self.inner[node] = True
             node = nxt
         self.token[node] = token
 
-    def _spine(self, token: int, side: list[int], memo: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
-        """The tokens that stand at one end of ``token`` while it grows, with the step that ends each."""
-        if (found := memo.get(token)) is None:
-            found, ends = [], sys.maxsize
-            while token >= 0:
-                found.append((token, ends))
-                ends, token = self.born[token], side[token]
-            memo[found[0][0]] = found
-        return found
+    def _taken_out(self, state: int, place: int, before: int) -> bool:
+        """Whether a gadget older than ``before`` took the arc to the label at ``place`` out of ``state``."""
+        ends = before
+        while state >= 0:
+            if (low := self.out_low.get(state)) is not None:
+                n = bisect_left(self.out_step[state], ends)
+                if ((low[:n] <= place) & (place < self.out_high[state][:n])).any():
+                    return True
+            ends, state = min(before, self.born[state]), self.right[state]
+        return False
 
     def arc(self, a: int, b: int) -> bool:
-        """Whether label ``b`` may follow state ``a``: no gadget fires across their border."""
+        """Whether state ``a`` has an arc labelled ``b``."""
         key = a << 32 | b
         if (known := self._arcs.get(key)) is None:
-            known = True
-            for x, x_ends in self._spine(a, self.right, self._ends):
-                for y, y_ends in self._spine(b, self.left, self._starts):
-                    step = self.gadget.get((x, y))
-                    # Of equal merges the left one comes first.
-                    if step is not None and step < x_ends and step <= y_ends:
-                        known = False
-            self._arcs[key] = known
+            known = self._arcs[key] = not self._taken_out(a, self.place[b], sys.maxsize)
         return known
 
+    def arcs(self, a: int) -> int:
+        """How many arcs the state ``a`` has."""
+        gone = np.zeros(len(self.label), bool)
+        ends = sys.maxsize
+        while a >= 0:
+            for low, high in zip(self.out_low.get(a, ())[: bisect_left(self.out_step.get(a, []), ends)], self.out_high.get(a, ()), strict=False):
+                gone[low:high] = True
+            ends, a = self.born[a], self.right[a]
+        return int(np.count_nonzero(~gone))
+
     def _sound(self, token: int) -> bool:
-        """Whether the token is what its own bytes give: its parts must be so, and follow each other until its step."""
+        """Whether the token is what its own bytes give: when its gadget was added, its right part could follow its left one."""
         if self.born[token] < 0:
             return len(self.label[token]) == 1
-        u, v = self.left[token], self.right[token]
-        for x, x_ends in self._spine(u, self.right, self._ends):
-            for y, y_ends in self._spine(v, self.left, self._starts):
-                step = self.gadget.get((x, y))
-                if step is not None and step < x_ends and step <= y_ends and step < self.born[token]:
-                    return False
-        return True
+        return not self._taken_out(self.left[token], self.place[self.right[token]], self.born[token])
+
+    def _restart(self) -> None:
+        """An empty transition table. A state of it is the labels begun: the token before each, and the node reached."""
+        self.table: dict[int, int] = {}
+        self.last = [-1]
+        self._begun: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self._number: dict[tuple[tuple[int, int], ...], int] = {self._begun[0]: 0}
+
+    def _transition(self, state: int, byte: int) -> int:
+        """Fills in the table: the labels begun read the byte, and the one that ends there by an arc is the last token."""
+        begun, last = [], -1
+        for before, node in self._begun[state]:
+            if (node := self.step.get(node << 8 | byte, -1)) >= 0:
+                if self.inner[node]:
+                    begun.append((before, node))
+                t = self.token[node]
+                if t >= 0 and self.sound[t] and (before < 0 or self.arc(before, t)):
+                    last = t
+        if last < 0:
+            raise ValueError(f"the vocabulary has no path that goes on with byte {byte}")
+        key = (*begun, (last, 0))
+        if (nxt := self._number.get(key)) is None:
+            nxt = self._number[key] = len(self._begun)
+            self._begun.append(key)
+            self.last.append(last)
+        self.table[state << 8 | byte] = nxt
+        return nxt
 
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the path that spells ``word``."""
-        step, token, sound, arc, n = self.step, self.token, self.sound, self.arc, len(word)
-        path: list[int] = []
-        waiting: list[list[int]] = []  # the labels not yet tried at each place, the longest last
-        dead: set[int] = set()
-        at = 0
-        while at < n:
-            node, labels, i = 0, [], at
-            while i < n and (node := step.get(node << 8 | word[i], -1)) >= 0:
-                i += 1
-                if (t := token[node]) >= 0 and sound[t]:
-                    labels.append(t)
-            waiting.append(labels)
-            while True:
-                labels, moved = waiting[-1], False
-                while labels:
-                    t = labels.pop()
-                    end = at + len(self.label[t])
-                    if end not in dead and (not path or arc(path[-1], t)):
-                        path.append(t)
-                        at, moved = end, True
-                        break
-                if moved:
-                    break
-                dead.add(at)
-                waiting.pop()
-                if not path:
-                    raise ValueError(f"the vocabulary has no path for {word!r}")
-                at -= len(self.label[path.pop()])
-        return path
+        if len(self.table) > TRANSITIONS:
+            self._restart()
+        table, last, state, ends = self.table, self.last, 0, []
+        for byte in word:
+            nxt = table.get(state << 8 | byte)
+            state = self._transition(state, byte) if nxt is None else nxt
+            ends.append(last[state])
+        path, at = [], len(word)
+        while at:
+            t = ends[at - 1]
+            path.append(t)
+            at -= len(self.label[t])
+        return path[::-1]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes that the labels emit."""
