@@ -11,15 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fieldloom.kernels.forest import folder
 from fieldloom.storage import Scratch
 
 
-def link_groups(
-    pairs: DataFrame, a: str, b: str, scope: Sequence[str] = (), fold: bool = True, max_rounds: int = 60
-) -> DataFrame:
+def link_groups(pairs: DataFrame, a: str, b: str, scope: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
     """One row (*scope, ``group``, ``member``) for every record tied to another one.
 
     ``a`` and ``b`` are integer identifiers and ``scope`` further integer columns within which they
@@ -27,13 +23,11 @@ def link_groups(
     null in any of these columns and pairs of a record with itself tie nothing, repeated and reversed
     pairs count once, further columns are ignored, and an empty table gives an empty table.
 
-    ``fold`` first rewrites the edges of each partition, in blocks of bounded size, as stars with the
-    same components (a map-side combine, which shortens chains). The rounds that follow join and
-    aggregate by node until no edge changes; each is written to the shared folder. A large group
-    never meets in one task: minima are aggregated map-side, and the join of a hub's edges can be
-    split by the engine. ``max_rounds`` is a guard: reaching it is an error, never a result.
+    The rounds join and aggregate by node until no edge changes; each is written to the shared folder. A
+    large group never meets in one task: minima are aggregated map-side, and the join of a hub's edges can be
+    split by the engine. Round tables are merged, never broadcast, whatever their size. ``max_rounds`` is a
+    guard: reaching it is an error, never a result.
     """
-    spark = pairs.sparkSession
     names = [f"s{i}" for i in range(len(scope))]
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = pairs.select(
@@ -42,13 +36,8 @@ def link_groups(
         F.least(x, y).alias("lo"),
         (x != y).alias("real"),
     )
-    edges = edges.dropna().where("real").drop("real")
-    if fold:
-        near = edges.repartition(*names, F.floor(F.col("hi") / 4096))
-        edges = near.mapInArrow(folder(names), T.StructType([T.StructField(c, T.LongType()) for c in [*names, "hi", "lo"]]))
-    scratch = Scratch(spark, "groups")
-    all_edges, edges = _set_leaves_aside(scratch, edges, names)
-    edges = scratch.save(edges, "edges0")
+    scratch = Scratch(pairs.sparkSession, "groups")
+    edges = scratch.save(edges.dropna().where("real").drop("real").distinct(), "edges0")
     for n in range(1, max_rounds + 1):
         edges = scratch.save(_small_star(_large_star(edges, names), names), f"edges{n}")
         scratch.drop(f"edges{n - 1}")
@@ -58,34 +47,16 @@ def link_groups(
     else:
         raise RuntimeError(f"links still change after {max_rounds} rounds")
     out = [F.col(s).alias(c) for s, c in zip(names, scope, strict=True)]
-    core = edges.select(*names, F.col("hi").alias("lo"), F.col("lo").alias("head"))
-    leaves = all_edges.where("NOT core").join(core, [*names, "lo"], "left").select(*names, F.coalesce("head", "lo").alias("lo"), "hi")
-    stars = leaves.unionByName(edges.select(*names, "lo", "hi"))
-    members = stars.select(*out, F.col("lo").alias("group"), F.col("hi").alias("member"))
-    heads = stars.select(*names, "lo").distinct().select(*out, F.col("lo").alias("group"), F.col("lo").alias("member"))
+    members = edges.select(*out, F.col("lo").alias("group"), F.col("hi").alias("member"))
+    heads = edges.select(*names, "lo").distinct().select(*out, F.col("lo").alias("group"), F.col("lo").alias("member"))
     return members.unionByName(heads)
 
 
-def _set_leaves_aside(scratch: Scratch, edges: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """All edges, marked as ``core`` or not, and the core ones.
-
-    The upper end of an edge is a leaf if it is in no other edge. It is never the smallest of its
-    group and gets the group of its lower end at last, so the rounds need not move it.
-    """
-    once = scratch.save(edges.distinct(), "all")
-    lower = once.select(*names, F.col("lo").alias("hi")).distinct().withColumn("seen", F.lit(2))
-    ends = once.select(*names, "hi", F.lit(1).alias("seen")).unionByName(lower)
-    tied = ends.groupBy(*names, "hi").agg(F.sum("seen").alias("seen")).where("seen > 1").drop("seen").withColumn("core", F.lit(True))
-    marked = scratch.save(once.join(tied, [*names, "hi"], "left").withColumn("core", F.col("core").isNotNull()), "marked")
-    scratch.drop("all")
-    return marked, marked.where("core").drop("core")
-
-
 def _large_star(edges: DataFrame, names: list[str]) -> DataFrame:
     """(hi, lo) becomes (hi, smallest of lo and its neighbours)."""
     # A smaller neighbour of lo is the lower end of an edge in which lo is the upper one.
     below = edges.groupBy(*names, F.col("hi").alias("lo")).agg(F.min("lo").alias("least"))
-    joined = edges.join(below, [*names, "lo"], "left")
+    joined = edges.join(below.hint("merge"), [*names, "lo"], "left")
     least = F.coalesce("least", "lo")
     return joined.select(*names, "hi", least.alias("lo"), (least != F.col("lo")).alias("moved"))
 
@@ -93,7 +64,7 @@ def _large_star(edges: DataFrame, names: list[str]) -> DataFrame:
 def _small_star(edges: DataFrame, names: list[str]) -> DataFrame:
     """All lower neighbours of a node, and the node itself, are tied to the smallest of them."""
     least = edges.groupBy(*names, "hi").agg(F.min("lo").alias("least"))
-    joined = edges.join(least, [*names, "hi"])
+    joined = edges.join(least.hint("merge"), [*names, "hi"])
     stays = F.col("lo") == F.col("least")
     rewritten = joined.select(
         *names,

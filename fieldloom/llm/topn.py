@@ -21,14 +21,24 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a subgroup that one task ranks, if a single group holds all rows; subgroups of a group at least.
+SUBGROUP, LEAST_SALTS = 1 << 20, 32
+
+
+def salts_for(rows: int) -> int:
+    """Subgroups of each group so that none is large even where one group holds all rows."""
+    return max(LEAST_SALTS, -(-rows // SUBGROUP))
+
+
 def top_n_per_group(
-    df: DataFrame, group: Sequence[str], score: str, item: str, n: int, salts: int = 32, rank: str | None = None
+    df: DataFrame, group: Sequence[str], score: str, item: str, n: int, salts: int | None = None, rank: str | None = None, salt: str | None = None
 ) -> DataFrame:
     """The ``n`` rows of every group with the highest ``score``, ties by ``item`` rising.
 
     Each group is hashed by item into ``salts`` subgroups; the first stage ranks and keeps ``n`` rows
     of every subgroup, the second ranks the survivors, of which a group has at most ``n * salts``.
-    So no task holds a whole group. A hot group only costs more first-stage tasks.
+    So no task holds a whole group. A hot group only costs more first-stage tasks. Without ``salts`` their
+    number follows from a count of the rows; ``salt`` names a column that has the subgroup already.
 
     Null or NaN scores rank last, as equal. Null group values form a group of their own. A null item
     ranks after all others of its score. Rows that are equal in score and item count one by one, in
@@ -39,7 +49,11 @@ def top_n_per_group(
         raise ValueError("n must be 1 or more")
     if rank and rank.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {rank} exists already")
-    salt, place = _free(df, "__salt"), _free(df, "__place")
+    if salt is None:
+        salt = _free(df, "__salt")
+        salts = salts or salts_for(df.count())
+        df = df.withColumn(salt, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)))
+    place = _free(df, "__place")
     s = F.col(score)
     if dict(df.dtypes)[score] in ("double", "float"):
         s = F.when(~F.isnan(s), s)
@@ -47,8 +61,7 @@ def top_n_per_group(
     first = Window.partitionBy(*group, salt).orderBy(*order)
     second = Window.partitionBy(*group).orderBy(*order)
     kept = (
-        df.withColumn(salt, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)))
-        .withColumn(place, F.row_number().over(first))
+        df.withColumn(place, F.row_number().over(first))
         .where(F.col(place) <= n)
         .drop(salt)
         .withColumn(place, F.row_number().over(second))
@@ -57,7 +70,7 @@ def top_n_per_group(
     return kept.withColumnRenamed(place, rank) if rank else kept.drop(place)
 
 
-def top_frames_per_cell(entries: DataFrame, n: int = 4, salts: int = 32) -> DataFrame:
+def top_frames_per_cell(entries: DataFrame, n: int = 4, salts: int | None = None) -> DataFrame:
     """The ``n`` sharpest frames of every video and coverage cell.
 
     A frame counts once, with the largest finite, non-negative sharpness among its rows. Rows with a
@@ -68,15 +81,8 @@ def top_frames_per_cell(entries: DataFrame, n: int = 4, salts: int = 32) -> Data
     rows = (
         entries.select(*group, "frame", usable_score("sharpness").alias("sharpness"))
         .dropna(subset=[*group, "frame"])
-        .withColumn("__salt", F.pmod(F.xxhash64("frame"), F.lit(salts)))
+        .withColumn("__salt", F.pmod(F.xxhash64("frame"), F.lit(salts or salts_for(entries.count()))))
         .repartition(*group, "__salt")
     )
     frames = rows.groupBy(*group, "__salt", "frame").agg(F.max("sharpness").alias("sharpness"))
-    order = [F.col("sharpness").desc_nulls_last(), F.col("frame").asc()]
-    return (
-        frames.withColumn("__place", F.row_number().over(Window.partitionBy(*group, "__salt").orderBy(*order)))
-        .where(F.col("__place") <= n)
-        .withColumn("__place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-        .where(F.col("__place") <= n)
-        .select(*group, "frame", "sharpness", F.col("__place").alias("place"))
-    )
+    return top_n_per_group(frames, group, "sharpness", "frame", n, rank="place", salt="__salt")

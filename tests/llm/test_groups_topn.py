@@ -31,7 +31,7 @@ def test_groups_match_union_find(spark):
     pairs = [(rng.randrange(2), rng.randrange(60), rng.randrange(60)) for _ in range(50)] + [(5, i, i + 1) for i in range(40)]
     pairs += [(None, 1, 2), (1, None, 2), (1, 3, None), (1, 7, 7), (5, 1, 0), (5, 0, 1)] + [(6, 100, i) for i in range(30)]
     assert _groups(spark, pairs) == _brute(pairs)
-    assert _groups(spark, pairs, fold=False) == _brute(pairs)
+    assert _groups(spark, pairs, max_rounds=40) == _brute(pairs)
 
 
 def test_groups_of_nothing(spark):
