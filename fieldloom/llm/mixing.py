@@ -1,6 +1,7 @@
-"""A mix of sources by target shares of all tokens, in blocks of equal length.
+"""A mix of sources by target shares of all tokens, in blocks of equal length that hold token ids.
 
-The texts of a source are put in pseudorandom order and their tokens cut into blocks of fixed length. The
+The texts of a source are encoded once and put in pseudorandom order, cut into ranges of about equal size; the
+tokens of each range are packed into blocks of fixed length, of which the last is shorter. The
 mix is a run of slots, each of one block. A keyed permutation of all slots deals them to the sources by
 their quotas, so that the counts of each output shard are a multinomial draw given the exact totals;
 within a source the slot's rank is mapped through a keyed permutation of its blocks, another one for
@@ -16,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.tokenizer import count_tokens
+from fieldloom.llm.tokenizer import encode_texts
 from fieldloom.storage import Scratch
 
-#: Tokens of a block, slots of an output shard, and hash ranges in which a source's texts are ordered.
-BLOCK, SHARD, RANGES = 1024, 256, 1024
+#: Tokens of a block, slots of an output shard, and tokens of a range on average: what a task packs at a time.
+BLOCK, SHARD, RANGE = 1024, 256, 1 << 22
+
+
+#: Blocks that a task hands on at a time.
+BATCH = 64
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -95,31 +100,78 @@ class Mix:
         self.repeats = [int(r["max_repeats"]) for r in rows]
         self.ids = self.spark.createDataFrame(list(zip(self.sources, range(len(rows)), strict=True)), "source string, source_id int")
         used = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(self.sources))
-        sizes = self.scratch.save(count_tokens(used, "text", path, "n_tokens", ["doc_id", "source"]).where("n_tokens > 0").join(F.broadcast(self.ids), "source").drop("source"), "sizes")
-        found = {r["source_id"]: r["n"] for r in sizes.groupBy("source_id").agg(F.sum("n_tokens").alias("n")).collect()}
+        ids = encode_texts(used, "doc_id", "text", path, keep=["source"]).where(F.size("ids") > 0).join(F.broadcast(self.ids), "source").drop("source")
+        self.encoded = self.scratch.save(ids, "encoded")
+        found = {r["source_id"]: r["n"] for r in self.encoded.groupBy("source_id").agg(F.sum(F.size("ids").cast("long")).alias("n")).collect()}
         self.tokens = [found.get(i, 0) for i in range(len(rows))]
-        self.held = [-(-n // block) for n in self.tokens]
+        self.packed = self.scratch.save(self._packed(), "packed")
+        self.scratch.drop("encoded")
+        held = {r["source_id"]: r["n"] for r in self.packed.groupBy("source_id").agg(F.count("*").alias("n")).collect()}
+        self.held = [held.get(i, 0) for i in range(len(rows))]
         capacity = [n * r for n, r in zip(self.held, self.repeats, strict=True)]
         self.quota = quotas(self.shares, capacity, None if total_tokens is None else total_tokens // block)
-        self.sizes = sizes
 
-    def packed(self) -> DataFrame:
-        """(``source_id, block, n_tokens, pieces``): the blocks, each with the pieces of texts in it."""
+    def _packed(self) -> DataFrame:
+        """(``source_id, range, at, n_tokens, pieces, ids``): the blocks, with the pieces of texts that their ids are of.
+
+        A range is packed from its sorted texts as they stream by, so a task holds one block and one batch of them.
+        """
         b = self.block
+        ranges = F.element_at(F.lit([max(1, -(-n // RANGE)) for n in self.tokens] or [1]), F.col("source_id") + 1)
         order = F.xxhash64(F.lit(self.seed), "doc_id")
-        ranged = self.sizes.withColumn("order", order).withColumn("range", F.pmod("order", F.lit(RANGES)))
-        sums = ranged.groupBy("source_id", "range").agg(F.sum("n_tokens").alias("n"))
+        rows = self.encoded.withColumn("order", order).withColumn("range", F.pmod("order", ranges))
+        placed = rows.repartition("source_id", "range").sortWithinPartitions("source_id", "range", "order", "doc_id").select("source_id", "range", "doc_id", "ids")
+        kind = dict(self.encoded.dtypes)["doc_id"]
+        piece = f"struct<at:int,doc_id:{kind},first_token:long,n_tokens:int>"
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, at, size, held, pieces = None, 0, 0, [], []
+            out: list[tuple] = []
+
+            def close() -> None:
+                nonlocal at, size, held, pieces
+                if held:
+                    out.append((*now, at, size, pieces, np.concatenate(held)))
+                    at, size, held, pieces = at + 1, 0, [], []
+
+            def flush() -> pa.RecordBatch:
+                columns = [list(c) for c in zip(*out, strict=True)]
+                out.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+            for batch in batches:
+                cut = pa.struct([("at", pa.int32()), ("doc_id", batch.schema.field("doc_id").type), ("first_token", pa.int64()), ("n_tokens", pa.int32())])
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(cut), pa.list_(pa.int32())]
+                lists = batch.column("ids")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                for row, where in enumerate(zip(batch.column("source_id").to_pylist(), batch.column("range").to_pylist(), strict=True)):
+                    if where != now:
+                        close()
+                        now, at = where, 0
+                    doc, ids, first = batch.column("doc_id")[row].as_py(), flat[ends[row] : ends[row + 1]], 0
+                    while first < len(ids):
+                        part = ids[first : first + b - size]
+                        pieces.append({"at": size, "doc_id": doc, "first_token": first, "n_tokens": len(part)})
+                        held.append(part.copy())
+                        first, size = first + len(part), size + len(part)
+                        if size == b:
+                            close()
+                        if len(out) >= BATCH:
+                            yield flush()
+            close()
+            if out:
+                yield flush()
+
+        names = ["source_id", "range", "at", "n_tokens", "pieces", "ids"]
+        return placed.mapInArrow(pack, f"source_id int, range long, at long, n_tokens int, pieces array<{piece}>, ids array<int>")
+
+    def index(self) -> DataFrame:
+        """(``source_id, block, range, at, n_tokens``): the blocks of each source, numbered through its ranges."""
+        narrow = self.packed.select("source_id", "range", "at", "n_tokens")
+        sizes = narrow.groupBy("source_id", "range").agg(F.count("*").alias("n"))
         before = Window.partitionBy("source_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.select("source_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-        within = Window.partitionBy("source_id", "range").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        placed = ranged.withColumn("at", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(starts, ["source_id", "range"])
-        placed = placed.select("source_id", "doc_id", "n_tokens", (F.col("at") + F.col("first")).alias("at"))
-        pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("n_tokens") - 1) / b))))
-        low = F.greatest(F.col("at"), F.col("block") * b)
-        high = F.least(F.col("at") + F.col("n_tokens"), (F.col("block") + 1) * b)
-        piece = F.struct((low - F.col("block") * b).alias("at"), "doc_id", (low - F.col("at")).alias("first_token"), (high - low).alias("n_tokens"))
-        # A block has at most as many pieces as tokens.
-        return pieces.groupBy("source_id", "block").agg(F.sum(high - low).alias("n_tokens"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+        starts = sizes.select("source_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        return narrow.join(starts, ["source_id", "range"]).select("source_id", (F.col("first") + F.col("at")).alias("block"), "range", "at", "n_tokens")
 
     def slots(self) -> DataFrame:
         """(``slot, shard, source_id, repeat, block``) of every slot."""
@@ -142,20 +194,17 @@ class Mix:
         return self.spark.range(total).mapInArrow(deal, "slot long, shard long, source_id int, repeat int, block long")
 
     def blocks(self) -> DataFrame:
-        """The mix: one row for each slot with its block."""
+        """The mix: one row for each slot with its block, the ids packed in it and the pieces that they are of."""
         return (
-            self.slots().join(self.packed(), ["source_id", "block"]).join(F.broadcast(self.ids), "source_id")
-            .select("shard", "slot", "source", "block", "repeat", "n_tokens", "pieces")
+            self.slots().join(self.index().drop("n_tokens"), ["source_id", "block"]).join(self.packed, ["source_id", "range", "at"]).join(F.broadcast(self.ids), "source_id")
+            .select("shard", "slot", "source", "block", "repeat", "n_tokens", "pieces", "ids")
         )
 
     def report(self) -> DataFrame:
         """Of every source: its target and actual share of all tokens, its tokens, blocks and repetitions."""
-        b = self.block
-        partial = [(i, n // b, n - n // b * b) for i, n in enumerate(self.tokens) if n % b]
-        last = self.spark.createDataFrame(partial, "source_id int, block long, short long")
         used = (
-            self.slots().join(F.broadcast(last), ["source_id", "block"], "left").groupBy("source_id")
-            .agg(F.count("*").alias("blocks"), F.sum(F.coalesce("short", F.lit(b))).alias("tokens"), (F.max("repeat") + 1).alias("repeats"))
+            self.slots().join(self.index(), ["source_id", "block"]).groupBy("source_id")
+            .agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens"), (F.max("repeat") + 1).alias("repeats"))
         )
         rows = list(zip(range(len(self.sources)), self.sources, self.shares, self.repeats, self.tokens, strict=True))
         targets = self.spark.createDataFrame(rows, "source_id int, source string, target_share double, max_repeats int, held_tokens long")

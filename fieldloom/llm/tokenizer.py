@@ -361,22 +361,23 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(load_automaton(path))
 
 
-def encode_texts(df: DataFrame, key: str, text: str, path: str, ids: str = "ids") -> DataFrame:
-    """``key`` and the token ids of ``text`` for each row, without special tokens.
+def encode_texts(df: DataFrame, key: str, text: str, path: str, ids: str = "ids", keep: Iterable[str] = ()) -> DataFrame:
+    """``key``, the columns ``keep`` and the token ids of ``text`` for each row, without special tokens.
 
     ``path`` is the vocabulary file (JSON or ranks) and must be readable on every executor. Empty and
     null texts both give an empty list, so that every row has ids; a special token's string is
     ordinary text. The key may be null or repeated, further columns are ignored. Texts of any length
     are encoded whole; memory is bound by the batch, not by the table.
     """
+    held = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.encode(batch.column(1))], names=[key, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoder.encode(batch.column(len(held)))], names=[*held, ids])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in held]
+    return df.select(*held, text).mapInArrow(run, ", ".join([*fields, f"`{ids}` array<int>"]))
 
 
 def count_tokens(df: DataFrame, text: str, path: str, count: str = "n_tokens", keep: Iterable[str] = ()) -> DataFrame:

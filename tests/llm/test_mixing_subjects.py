@@ -5,7 +5,7 @@ import pytest
 
 from fieldloom.llm import mixing, subjects
 from fieldloom.llm.subject_terms import AREAS
-from fieldloom.llm.tokenizer import tokenizer_path
+from fieldloom.llm.tokenizer import encode_texts, tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -39,7 +39,10 @@ def test_mix_has_its_shares(spark):
     assert sum(r.tokens for r in report.values()) == sum(r.n_tokens for r in rows)
     assert abs(report["big"].actual_share - 0.5 / 1.0) < 0.05 and abs(report["mid"].actual_share - 0.4) < 0.05 and report["absent"].tokens == 0
     uses = {}
+    ids = {r.doc_id: r.ids for r in encode_texts(_documents(spark), "doc_id", "text", PATH).collect()}
     for r in rows:
+        assert r.ids == [i for p in r.pieces for i in ids[p.doc_id][p.first_token : p.first_token + p.n_tokens]]
+        assert [p.at for p in r.pieces] == np.cumsum([0] + [p.n_tokens for p in r.pieces])[:-1].tolist()
         assert sum(p.n_tokens for p in r.pieces) == r.n_tokens <= 32
         for p in r.pieces:
             for t in range(p.first_token, p.first_token + p.n_tokens):
@@ -57,6 +60,17 @@ def test_mix_of_a_given_size_and_of_nothing(spark):
     assert mixing.Mix(_documents(spark).limit(0), targets, PATH).blocks().count() == 0
 
 
+def test_ranges_are_packed_each(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 700)
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.Mix(_documents(spark), targets, PATH, block=32)
+    index = mix.index().orderBy("block").collect()
+    assert [r.block for r in index] == list(range(len(index))) and sum(r.n_tokens for r in index) == mix.tokens[0] == 300 * 40
+    assert {r.range for r in index} == set(range(18)) and sum(r.n_tokens < 32 for r in index) <= 18
+    rows = mix.blocks().collect()
+    assert sorted(i for r in rows for p in r.pieces for i in [p.doc_id] * p.n_tokens) == [d for d in range(300) for _ in range(40)]
+
+
 def test_cleaning_and_folding():
     assert subjects.clean_text("T&uuml;r <p>a  b</p>\nvaccine car-\nrier sol­\nvent\n- 3 -  1/2\nx") == "Tür a b vaccine carrier solvent x"
     assert subjects.clean_text("KanÃ¼le 换挡 杆") == "Kanüle 换挡杆"
