@@ -78,3 +78,71 @@ def stiffness(score: Column, support: Column, area: Column, cells: Column, resid
     around = F.greatest(zero, F.coalesce(cycle, F.lit(20.0)))
     agreement = 1 / (1 + F.pow(apart / 4, 2) + F.pow(around / 10, 2))
     return F.greatest(one, F.least(F.lit(256.0), 4 + 12 * correlation * size * spread * agreement))
+
+
+def field_colour(dx: Column, dy: Column, reach: Column | float) -> Column:
+    """A signed shift as red and blue, 0 as the middle."""
+    part = lambda v: half_up(127.5 * (1 + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v / reach))))
+    return F.array(part(dx), F.lit(0).cast("long"), part(dy))
+
+
+def deviation_colour(deviation: Column) -> Column:
+    """From green at 0 to red at 1."""
+    hue = F.round(120 * (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), deviation))), 3)
+    return F.concat(F.lit("hsl("), hue.cast("string"), F.lit(" 75% 45%)"))
+
+
+#: Fixed weights of the channels where none are given.
+LUMA = (0.299, 0.587, 0.114)
+
+
+def refit_parameters(brightness: Column, contrast: Column, gamma: Column, red: Column, green: Column, blue: Column) -> Column:
+    """Parameters within their bounds, missing ones at their defaults, and channel weights that sum to 1."""
+    clamp = lambda v, low, high: F.least(F.lit(high), F.greatest(F.lit(low), v))
+    usable = lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+    weights = [clamp(usable(F.coalesce(v, F.lit(d))), 0.0, 4.0) for v, d in zip((red, green, blue), LUMA, strict=True)]
+    whole = weights[0] + weights[1] + weights[2]
+    share = [w / F.when(whole == 0, 1.0).otherwise(whole) for w in weights]
+    return F.struct(
+        clamp(F.coalesce(brightness, F.lit(0.0)), -1.0, 1.0).alias("brightness"), clamp(F.coalesce(contrast, F.lit(1.0)), 0.1, 4.0).alias("contrast"),
+        clamp(F.coalesce(gamma, F.lit(1.0)), 0.1, 4.0).alias("gamma"), *[s.alias(n) for s, n in zip(share, ("red", "green", "blue"), strict=True)],
+    )
+
+
+def gray_matrix(red: Column, green: Column, blue: Column) -> Column:
+    """The colour matrix, row by row, that gives every channel the weighted gray and keeps alpha."""
+    row = [red, green, blue, F.lit(0), F.lit(0)]
+    return F.concat_ws(" ", *[c.cast("string") for c in row * 3], F.lit("0 0 0 1 0"))
+
+
+def detection_size(width: Column, height: Column, edge: int = 3840) -> tuple[Column, Column]:
+    """The size at which a picture is searched: its longer side at most ``edge``."""
+    scale = F.least(F.lit(1.0), edge / F.greatest(width, height))
+    return F.greatest(F.lit(1), half_up(width * scale)), F.greatest(F.lit(1), half_up(height * scale))
+
+
+def overlay_tile_edge(width: Column, height: Column, texture: int = 8192, budget: int = 1536 << 20) -> Column:
+    """The greatest power of two that the memory left by the maps allows, 4096 at most; null below 512."""
+    left = budget - width * height * 17
+    edge = F.least(F.lit(4096), F.lit(texture), F.floor(F.sqrt(left / 24)))
+    return F.when((left > 0) & (edge >= 512), F.pow(F.lit(2), F.floor(F.log2(edge))).cast("long"))
+
+
+def metric_scale(grid_mm: Column, step: Column) -> tuple[Column, Column]:
+    """Millimetres per pixel and dots per inch; null without a positive grid width."""
+    mm = F.when(grid_mm > 0, grid_mm)
+    return mm / step, 25.4 * step / mm
+
+
+def preview_gray(gain: Column, low: float = 0.6, high: float = 1.4) -> Column:
+    """The relative transmission as a gray value."""
+    return half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 / gain - low) / (high - low))) * 255)
+
+
+def bilinear(gray: Column, side: int, x: Column, y: Column) -> Column:
+    """The value between the four pixels around a place of a square picture; null outside or next to a null pixel."""
+    at = lambda i, j: F.get(gray, (j * side + i).cast("int"))
+    i, j = F.floor(x), F.floor(y)
+    u, v = x - i, y - j
+    inside = (x >= 0) & (y >= 0) & (x < side - 1) & (y < side - 1)
+    return F.when(inside, (1 - v) * ((1 - u) * at(i, j) + u * at(i + 1, j)) + v * ((1 - u) * at(i, j + 1) + u * at(i + 1, j + 1)))

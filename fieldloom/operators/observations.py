@@ -169,3 +169,16 @@ def violations(frames: DataFrame, least_points: int = 6) -> DataFrame:
     }
     broken = F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(k)) for k, r in rules.items()]), lambda x: x.isNotNull())
     return frames.select("frame_id", F.explode(broken).alias("rule"))
+
+
+def enough_frames(frames: DataFrame, key: str, least: int) -> DataFrame:
+    """The frames of those keys that have ``least`` of them."""
+    held = frames.groupBy(key).agg(F.count("*").alias("held")).where(F.col("held") >= least)
+    return frames.join(held.select(key), key, "left_semi")
+
+
+def reference_order(frames: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The order in which train frames are tried as reference: the ``preferred`` one of their video, then by number of points."""
+    first = F.col("frame_id").eqNullSafe(F.col("preferred"))
+    order = Window.partitionBy("video_id").orderBy(first.desc(), F.size("points").desc(), "frame_id")
+    return frames.join(preferred.select("video_id", "preferred"), "video_id", "left").select("video_id", "frame_id", F.row_number().over(order).alias("place"))
