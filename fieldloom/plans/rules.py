@@ -138,12 +138,12 @@ def run_fingerprint(spark, folder):
     return table(spark, folder, "videos").select("video_id", keys.fingerprint(text).alias("fingerprint"))
 
 
-@query("brightness_candidates", f"""WITH {OBSERVATIONS}, c AS (SELECT video_id, frame_id FROM obs WHERE enabled AND coalesce(reason, '') = '' AND len(points) >= 4)
+@query("brightness_candidates", f"""WITH {OBSERVATIONS}, c AS (SELECT video_id, frame_id FROM obs WHERE enabled AND reason = 'usable board' AND len(points) >= 4)
     SELECT video_id, frame_id FROM c WHERE video_id IN (SELECT video_id FROM c GROUP BY video_id HAVING count(*) >= 5)""")
 def brightness_candidates(spark, folder):
     from fieldloom.operators.observations import enough_frames
 
-    usable = observations(spark, folder).where("enabled AND coalesce(reason, '') = '' AND size(points) >= 4").select("video_id", "frame_id")
+    usable = observations(spark, folder).where("enabled AND reason = 'usable board' AND size(points) >= 4").select("video_id", "frame_id")
     return enough_frames(usable, "video_id", 5)
 
 
