@@ -54,7 +54,8 @@ def oriented(matches: DataFrame) -> DataFrame:
     A match has ``reference``, ``current``, ``measurement`` and ``cells`` of ``reference``, ``current`` (points), ``psr`` and
     ``support``. Cells get their id and a quality by psr: a twentieth, 0.2 to 1, and 1 where unknown. Cells with an unknown end go.
     """
-    flip = F.col("reference") > F.col("current")
+    # A column of its own: within a lambda the names would mean the columns that are replaced below.
+    matches, flip = matches.withColumn("__flip", F.col("reference") > F.col("current")), F.col("__flip")
     place = lambda p: P.finite(p["x"]) & P.finite(p["y"])
     known = F.filter("cells", lambda c: c.isNotNull() & place(c["reference"]) & place(c["current"]))
 
@@ -67,7 +68,7 @@ def oriented(matches: DataFrame) -> DataFrame:
     return matches.withColumns({
         "cells": F.transform(known, cell), "measurement": F.when(flip, P.invert(F.col("measurement"))).otherwise(F.col("measurement")),
         "reference": F.least("reference", "current"), "current": F.greatest("reference", "current"),
-    })
+    }).drop("__flip")
 
 
 def normalised(pairs: DataFrame) -> DataFrame:
@@ -86,16 +87,14 @@ def merged(matches: DataFrame, deleted: DataFrame, key: Sequence[str], keep_stre
     have the key, ``step``, ``approximate``, ``weight``, ``measurement`` and ``cells``. A later match replaces the pair; an approximate one never
     replaces a precise one, and the first precise one drops the cells of approximate ones. Cells are replaced by id. So of a pair
     with any precise match only these count, else all; that needs no fold over the matches, only the last of each. ``keep_strength``
-    keeps the greatest weight up to the last that counts. Deleted pairs stay out.
+    keeps the greatest weight of those put in, approximate ones before the first precise one included. Deleted pairs stay out.
     """
     k = list(key)
     known = matches.join(deleted.select(*k), k, "left_anti")
-    precise = F.max(F.when(~F.col("approximate"), F.col("step")))
-    last = known.groupBy(*k).agg(precise.alias("precise"), F.max("step").alias("newest"))
-    rows = known.join(last, k)
+    first = known.groupBy(*k).agg(F.min(F.when(~F.col("approximate"), F.col("step"))).alias("precise"))
+    rows = known.join(first, k)
     counts = F.col("precise").isNull() | ~F.col("approximate")
-    upto = F.coalesce("precise", "newest")
-    strength = F.max(F.when(F.col("step") <= upto, F.col("weight"))) if keep_strength else F.max_by("weight", F.when(counts, F.col("step")))
+    strength = F.max(F.when(counts | (F.col("step") < F.col("precise")), F.col("weight"))) if keep_strength else F.max_by("weight", F.when(counts, F.col("step")))
     pairs = rows.groupBy(*k).agg(
         F.max_by(F.struct("measurement", "approximate", "step"), F.when(counts, F.col("step"))).alias("l"), strength.alias("weight"), F.count(F.when(counts, 1)).alias("updates")
     ).select(*k, "l.measurement", "l.approximate", F.col("l.step").alias("step"), "weight", "updates")

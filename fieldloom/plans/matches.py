@@ -92,7 +92,7 @@ def normalise_network(spark, folder):
 
 MERGED = f"""{ORIENTED}, op AS (SELECT video_id, step, least(reference, current) AS reference, greatest(reference, current) AS current, step % 3 = 0 AS approximate, (1 + step % 8)::DOUBLE AS weight FROM mt
       WHERE accepted AND (least(reference, current)*31 + greatest(reference, current)) % 17 > 0),
-    pc AS (SELECT *, bool_and(approximate) OVER w AS none, max(CASE WHEN NOT approximate THEN step END) OVER w AS lp, max(step) OVER w AS ls FROM op WINDOW w AS (PARTITION BY video_id, reference, current)),
+    pc AS (SELECT *, bool_and(approximate) OVER w AS none, min(CASE WHEN NOT approximate THEN step END) OVER w AS fp FROM op WINDOW w AS (PARTITION BY video_id, reference, current)),
     ct AS (SELECT * FROM pc WHERE none OR NOT approximate)"""
 
 
@@ -102,7 +102,7 @@ def _merged(spark, folder):
     return ops.merged(known, gone, KEY, keep_strength=True)
 
 
-@query("network_merge", f"""WITH {MERGED}, st AS (SELECT video_id, reference, current, max(weight) AS weight FROM pc WHERE step <= coalesce(lp, ls) GROUP BY ALL)
+@query("network_merge", f"""WITH {MERGED}, st AS (SELECT video_id, reference, current, max(weight) AS weight FROM pc WHERE none OR NOT approximate OR step < fp GROUP BY ALL)
     SELECT video_id, reference, current, max(step) AS step, bool_and(approximate) AS approximate, any_value(st.weight) AS weight, count(*) AS updates FROM ct JOIN st USING (video_id, reference, current) GROUP BY ALL""")
 def network_merge(spark, folder):
     return _merged(spark, folder)[0].select(*KEY, "step", "approximate", "weight", "updates")
