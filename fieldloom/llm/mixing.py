@@ -1,7 +1,7 @@
 """A mix of sources by target shares of all tokens, in blocks of equal length that hold token ids.
 
-The texts of a source are encoded once and put in pseudorandom order, cut into ranges of about equal size; the
-tokens of each range are packed into blocks of fixed length, of which the last is shorter. The
+The texts of a source are put in pseudorandom order, cut into ranges of about equal size; each range is encoded
+and its tokens are packed into blocks of fixed length, of which the last is shorter. The
 mix is a run of slots, each of one block. A keyed permutation of all slots deals them to the sources by
 their quotas, so that the counts of each output shard are a multinomial draw given the exact totals;
 within a source the slot's rank is mapped through a keyed permutation of its blocks, another one for
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.tokenizer import encode_texts
+from fieldloom.llm.tokenizer import token_encoder
 from fieldloom.storage import Scratch
 
-#: Tokens of a block, slots of an output shard, and tokens of a range on average: what a task packs at a time.
-BLOCK, SHARD, RANGE = 1024, 256, 1 << 22
+#: Tokens of a block, slots of an output shard, and letters of a range on average: the unit of work of packing.
+BLOCK, SHARD, RANGE = 1024, 256, 1 << 20
 
 
 #: Blocks that a task hands on at a time.
@@ -100,32 +100,31 @@ class Mix:
         self.repeats = [int(r["max_repeats"]) for r in rows]
         self.ids = self.spark.createDataFrame(list(zip(self.sources, range(len(rows)), strict=True)), "source string, source_id int")
         used = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(self.sources))
-        ids = encode_texts(used, "doc_id", "text", path, keep=["source"]).where(F.size("ids") > 0).join(F.broadcast(self.ids), "source").drop("source")
-        self.encoded = self.scratch.save(ids, "encoded")
-        found = {r["source_id"]: r["n"] for r in self.encoded.groupBy("source_id").agg(F.sum(F.size("ids").cast("long")).alias("n")).collect()}
+        texts = used.where(F.length("text") > 0).join(F.broadcast(self.ids), "source").drop("source")
+        sizes = {r["source_id"]: r["n"] for r in texts.groupBy("source_id").agg(F.sum(F.length("text").cast("long")).alias("n")).collect()}
+        self.packed = self.scratch.save(self._packed(texts, path, [max(1, -(-sizes.get(i, 0) // RANGE)) for i in range(len(rows))]), "packed")
+        found = {r["source_id"]: r["n"] for r in self.packed.groupBy("source_id").agg(F.sum("n_tokens").alias("n")).collect()}
         self.tokens = [found.get(i, 0) for i in range(len(rows))]
-        self.packed = self.scratch.save(self._packed(), "packed")
-        self.scratch.drop("encoded")
         held = {r["source_id"]: r["n"] for r in self.packed.groupBy("source_id").agg(F.count("*").alias("n")).collect()}
         self.held = [held.get(i, 0) for i in range(len(rows))]
         capacity = [n * r for n, r in zip(self.held, self.repeats, strict=True)]
         self.quota = quotas(self.shares, capacity, None if total_tokens is None else total_tokens // block)
 
-    def _packed(self) -> DataFrame:
+    def _packed(self, texts: DataFrame, path: str, ranges: list[int]) -> DataFrame:
         """(``source_id, range, at, n_tokens, pieces, ids``): the blocks, with the pieces of texts that their ids are of.
 
-        A range is packed from its sorted texts as they stream by, so a task holds one block and one batch of them.
+        Texts are moved once, before they are encoded. A range is encoded and packed from its sorted texts as they stream
+        by, so a task holds one block and one batch of them.
         """
         b = self.block
-        ranges = F.element_at(F.lit([max(1, -(-n // RANGE)) for n in self.tokens] or [1]), F.col("source_id") + 1)
         order = F.xxhash64(F.lit(self.seed), "doc_id")
-        rows = self.encoded.withColumn("order", order).withColumn("range", F.pmod("order", ranges))
-        placed = rows.repartition("source_id", "range").sortWithinPartitions("source_id", "range", "order", "doc_id").select("source_id", "range", "doc_id", "ids")
-        kind = dict(self.encoded.dtypes)["doc_id"]
+        rows = texts.withColumn("order", order).withColumn("range", F.pmod("order", F.element_at(F.lit(ranges or [1]), F.col("source_id") + 1)).cast("long"))
+        placed = rows.repartition("source_id", "range").sortWithinPartitions("source_id", "range", "order", "doc_id").select("source_id", "range", "doc_id", "text")
+        kind = dict(texts.dtypes)["doc_id"]
         piece = f"struct<at:int,doc_id:{kind},first_token:long,n_tokens:int>"
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, at, size, held, pieces = None, 0, 0, [], []
+            encoder, now, at, size, held, pieces = token_encoder(path), None, 0, 0, [], []
             out: list[tuple] = []
 
             def close() -> None:
@@ -142,7 +141,7 @@ class Mix:
             for batch in batches:
                 cut = pa.struct([("at", pa.int32()), ("doc_id", batch.schema.field("doc_id").type), ("first_token", pa.int64()), ("n_tokens", pa.int32())])
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(cut), pa.list_(pa.int32())]
-                lists = batch.column("ids")
+                lists = encoder.encode(batch.column("text"))
                 ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
                 for row, where in enumerate(zip(batch.column("source_id").to_pylist(), batch.column("range").to_pylist(), strict=True)):
                     if where != now:

@@ -357,7 +357,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str) -> WordEncoder:
+def token_encoder(path: str) -> WordEncoder:
+    """One for each worker and vocabulary."""
     return WordEncoder(load_automaton(path))
 
 
@@ -372,7 +373,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str, ids: str = "ids"
     held = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = token_encoder(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoder.encode(batch.column(len(held)))], names=[*held, ids])
 
@@ -385,7 +386,7 @@ def count_tokens(df: DataFrame, text: str, path: str, count: str = "n_tokens", k
     keep = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = token_encoder(path)
         for batch in batches:
             sizes = pc.list_value_length(encoder.encode(batch.column(len(keep)))).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], names=[*keep, count])

@@ -61,7 +61,7 @@ def test_mix_of_a_given_size_and_of_nothing(spark):
 
 
 def test_ranges_are_packed_each(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE", 700)
+    monkeypatch.setattr(mixing, "RANGE", 3400)
     targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
     mix = mixing.Mix(_documents(spark), targets, PATH, block=32)
     index = mix.index().orderBy("block").collect()
