@@ -9,7 +9,9 @@ margin of the anchors allows for. A hash is that of the grid cells of a first an
 training frames give the cells of their anchors, evaluation frames all cells within the radius of
 theirs. The join of the hashes thus finds every match. Across the direction, the places of the first
 and of the last partnered point differ by the radius at most as well; the ranges in which they lie
-travel with the hash and thin the candidates. The exact rule is then checked.
+travel with the hash and thin the candidates. The exact rule is then checked. Where points of a frame lie so near each
+other that they may share a partner, the frame with fewer points may have more than a tenth without one; such
+frames are looked up by their first anchors alone.
 """
 
 from __future__ import annotations
@@ -80,6 +82,30 @@ def _hashes(df: DataFrame, reach: float | None) -> DataFrame:
     )
 
 
+def _crowded(radius: float) -> str:
+    """SQL of whether two points of a frame may lie within twice the radius: then they share a cell of one of four grids."""
+    edge = 4 * radius + 1e-6
+    grids = [f"size(array_distinct(transform(pts, p -> {_cell(f'p.x / {edge!r}D * {CELL!r}D + {a}D', f'p.y / {edge!r}D * {CELL!r}D + {b}D')}))) < size(pts)" for a in (0.0, CELL / 2) for b in (0.0, CELL / 2)]
+    return " OR ".join(grids)
+
+
+def _crowded_candidates(named: DataFrame, radius: float, train: str) -> DataFrame | None:
+    """The pairs whose frame with more points has some that lie so near each other that they may share a partner.
+
+    Of that frame a tenth at most has no partner, so one of its first anchors has one, which may be any point of the
+    other frame. None if there is no such frame.
+    """
+    marked = named.where(F.expr(_crowded(radius)))
+    if marked.isEmpty():
+        return None
+    near = ", ".join(_cell(f"q.x {a} {radius!r}D", f"q.y {b} {radius!r}D") for a in "+-" for b in "+-")
+    heads = _anchors(marked, radius).select("id", "split", F.explode(F.expr(f"array_distinct(flatten(transform(head, q -> array({near}))))")).alias("hash"))
+    places = named.select("id", "split", F.explode(F.expr(f"array_distinct(transform(pts, q -> {_cell('q.x', 'q.y')}))")).alias("hash"))
+    met = heads.withColumnsRenamed({"id": "m", "split": "ms"}).join(places, "hash").where((F.col("ms") == train) != (F.col("split") == train))
+    ours = F.col("ms") == train
+    return met.select(F.when(ours, F.col("m")).otherwise(F.col("id")).alias("a"), F.when(ours, F.col("id")).otherwise(F.col("m")).alias("b")).where("a != b").distinct()
+
+
 def split_overlaps(
     frames: DataFrame,
     frame: str = "frame_id",
@@ -96,8 +122,8 @@ def split_overlaps(
     null frame, and frames with fewer than ``least_points`` usable points take no part. A usable point
     has a finite position below 1e9; confidence and numbering do not matter. Copies of a row count
     once. Of two frames with equally many points either may be covered by the other. A frame in both
-    splits is not paired with itself. Points of a frame lie more than twice ``radius`` apart, as grid
-    corners do: where several share a partner, a match may be missed. Further columns are ignored.
+    splits is not paired with itself. Frames with points within twice ``radius`` of each other, of which several may
+    share a partner, get candidates of their own from all points of the other frames. Further columns are ignored.
 
     The candidates come from an equi-join on hashes, which the engine may split where a view is very
     frequent; points are fetched for candidates only. Nothing is broadcast by hand.
@@ -114,6 +140,8 @@ def split_overlaps(
         .select("a", "b")
         .distinct()
     )
+    if (more := _crowded_candidates(named, radius, train)) is not None:
+        candidates = candidates.unionByName(more).distinct()
     once = named.dropDuplicates(["id", "split"])
     left = once.where(F.col("split") == train).select(F.col("id").alias("a"), F.col("pts").alias("pa"))
     right = once.where(F.col("split") != train).select(F.col("id").alias("b"), F.col("pts").alias("pb"), "split")

@@ -7,8 +7,10 @@ sample is drawn with probability inverse to that density.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.overlap import usable_points
@@ -16,6 +18,8 @@ from fieldloom.storage import Scratch
 
 #: A bucket is hot if it holds more than this part of all bucket entries; so at most as many are hot.
 HOT_PARTS = 2000
+#: Keys that are sorted at a time where the sample ends.
+CUT = 1 << 16
 
 
 def view_features(points: str = "points") -> Column:
@@ -71,7 +75,7 @@ def weighted_sample(df: DataFrame, item: str, weight: str, size: int, seed: int
     """``size`` rows drawn without replacement with probability by ``weight``; all rows if there are fewer.
 
     Each row gets the key -ln(u) / weight with u hashed from the item, and the smallest keys win. The
-    cut is found from a histogram of the keys, so no task sorts more than one bin of it. Rows with a
+    cut is found from a histogram of the keys, whose last bin is cut again until it is small. Rows with a
     null item or without a positive finite weight are never drawn; the same input gives the same sample.
     """
     scratch = Scratch(df.sparkSession, "sample")
@@ -80,13 +84,27 @@ def weighted_sample(df: DataFrame, item: str, weight: str, size: int, seed: int
     keyed = scratch.save(
         df.where(good).withColumn("__key", -F.log(unit) / F.col(weight)).withColumn("__bin", F.floor(F.log("__key") * 64)), "keyed"
     )
-    bins = keyed.groupBy("__bin").agg(F.count("*").alias("__n"))
+    taken, within, need = [], keyed, size
+    while True:
+        cut = _cut(within, need)
+        if cut is None:
+            taken.append(within)
+            break
+        taken.append(within.where(F.col("__bin") < cut["__bin"]))
+        within, need = within.where(F.col("__bin") == cut["__bin"]), need - (cut["__upto"] - cut["__n"])
+        ends = within.agg(F.min("__key").alias("low"), F.max("__key").alias("high")).first()
+        if cut["__n"] <= CUT or not ends["low"] < ends["high"]:
+            taken.append(within.orderBy("__key", item).limit(need))
+            break
+        within = within.withColumn("__bin", F.floor((F.col("__key") - ends["low"]) / (ends["high"] - ends["low"]) * 1024))
+    return reduce(DataFrame.unionByName, taken).drop("__key", "__bin")
+
+
+def _cut(keyed: DataFrame, need: int) -> Row | None:
+    """The bin in which the smallest ``need`` keys end; None if there are fewer."""
+    bins = keyed.groupBy("__bin").agg(F.count("*").alias("__n"))  # a few hundred bins of a logarithm, or a thousand of a bin
     upto = bins.withColumn("__upto", F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = upto.where(F.col("__upto") >= size).orderBy("__bin").first()
-    if cut is None:
-        return keyed.drop("__key", "__bin")
-    rest = keyed.where(F.col("__bin") == cut["__bin"]).orderBy("__key", item).limit(size - (cut["__upto"] - cut["__n"]))
-    return keyed.where(F.col("__bin") < cut["__bin"]).unionByName(rest).drop("__key", "__bin")
+    return upto.where(F.col("__upto") >= need).orderBy("__bin").first()
 
 
 def varied_subset(df: DataFrame, item: str, features: str, dims: int, size: int, width: float = 60.0, seed: int = 7) -> DataFrame:

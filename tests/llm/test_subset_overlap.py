@@ -77,3 +77,25 @@ def test_density_counts_copies(spark):
     df = spark.createDataFrame(rows, "id bigint, f array<double>")
     got = {r.id: r.density for r in subset.local_density(df, "id", "f", 2).collect()}
     assert got == {0: 5, 1: 5, 2: 5, 3: 5, 4: 5, 9: 1}
+
+
+def test_crowded_points_share_a_partner(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        x, y = 900.0 * k + 50, 70.0
+        spread = [(0, 0, x + rng.uniform(-400, 400), y + rng.uniform(0, 900), 1.0) for _ in range(8)]
+        crowd = [(0, 0, x + rng.uniform(-0.4, 0.4), y + rng.uniform(-0.4, 0.4), 1.0) for _ in range(82)]
+        rows.append((10 * k, 1, "train" if k % 2 else "validation", True, [*spread, *crowd]))
+        # One point in the crowd and eight or more that no point of the other frame is near.
+        rows.append((10 * k + 1, 1, "validation" if k % 2 else "train", True, [(0, 0, x, y, 1.0)] + [(0, 0, x + 40 * j, y - 900 + 30 * j, 1.0) for j in range(8 + k % 3)]))
+    want = _brute(rows)
+    assert len(want) == 12
+    assert {tuple(r) for r in overlap.frame_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_sample_ends_in_a_crowded_bin(spark, monkeypatch):
+    df = spark.range(3000).withColumn("w", F.lit(1.0))
+    whole = {r.id for r in subset.weighted_sample(df, "id", "w", 1234).collect()}
+    monkeypatch.setattr(subset, "CUT", 2)
+    assert {r.id for r in subset.weighted_sample(df, "id", "w", 1234).collect()} == whole and len(whole) == 1234
