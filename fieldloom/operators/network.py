@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import pose as P
 from fieldloom.functions import stats
+from fieldloom.storage import Scratch
 
 
 def verdict(forward: Column, backward: Column, cycle: Column, score: Column, support: Column, pose_ok: Column, limit: float = 2.0, least_score: float = 0.9, least_support: float = 128.0) -> Column:
@@ -92,7 +93,10 @@ def overlap_checks(path: DataFrame, track: str, order: str, reach: float) -> Dat
     """
     from fieldloom.operators.windows import travelled
 
-    rows = travelled(path, track, order).select(track, order, "x", "y", "travelled")
+    # A row at which the path has not moved has the same answer as the one before and is never the first of its place.
+    still = F.lag("travelled").over(Window.partitionBy(track).orderBy(order)) == F.col("travelled")
+    moving = travelled(path, track, order).withColumn("still", F.coalesce(still, F.lit(False))).where("NOT still")
+    rows = Scratch(path.sparkSession, "checks").save(moving.select(track, order, "x", "y", "travelled"), "rows")
     asks, best = rows, None
     # A place with a partner within a part of the reach has its closest one there, so dense places are settled on fine grids.
     for part in (1 / 64, 1 / 16, 1 / 4, 1.0):
@@ -109,6 +113,9 @@ def _closest_later(asks: DataFrame, rows: DataFrame, track: str, order: str, rea
     cell = lambda c: F.floor(F.col(c) / reach)
     around = F.array(*[F.struct((cell("x") + a).alias("i"), (cell("y") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     a = asks.select(track, F.col(order).alias("reference"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("travelled").alias("at"), F.inline(around))
+    # Cells that the path leaves for good before it has travelled far enough have no partner.
+    late = rows.groupBy(track, cell("x").alias("i"), cell("y").alias("j")).agg(F.max("travelled").alias("latest"))
+    a = a.join(late, [track, "i", "j"]).where(F.col("latest") - F.col("at") >= way).drop("latest")
     dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
     pairs = a.join(rows.withColumns({"i": cell("x"), "j": cell("y")}), [track, "i", "j"]).withColumn("d", F.sqrt(dx * dx + dy * dy))
     good = pairs.where((F.col(order) > F.col("reference")) & (F.col("travelled") - F.col("at") >= way) & (F.col("d") < reach))

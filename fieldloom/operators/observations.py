@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import stats
-from fieldloom.operators import fits
+from fieldloom.operators import fits, ranks
+from fieldloom.storage import Scratch
 
 
 def error_statistics(errors: DataFrame, key: list[str], error: str) -> DataFrame:
     """Count, upper median, rms and upper 95 % of the errors of each key."""
-    s = errors.groupBy(*key).agg(stats.sorted_values(F.col(error)).alias("s"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rms"))
-    return s.select(*key, F.size("s").alias("n"), stats.upper_quantile(F.col("s"), 0.5).alias("median"), "rms", stats.upper_quantile(F.col("s"), 0.95).alias("p95"))
+    held = Scratch(errors.sparkSession, "errors").save(errors.select(*key, F.col(error).alias("e")), "errors")
+    rms = held.groupBy(*key).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms"))
+    at = ranks.exact_ranks(held, key, "e", {"median": ranks.upper(0.5), "p95": ranks.upper(0.95)})
+    return at.join(rms, list(key)).select(*key, F.col("n").cast("int").alias("n"), "median", "rms", "p95")
 
 
 def heldout_errors(frames: DataFrame, sigma: float = 1.0, delta: float = 1.5, rounds: int = 8) -> DataFrame:
@@ -71,21 +74,22 @@ def movements(metrics: DataFrame, step: float = 1.0) -> DataFrame:
 
 def video_metrics(points: DataFrame, step: float = 1.0) -> DataFrame:
     """Per video: quantiles of the fits and moves, distinct octants and the share of near duplicates."""
-    each = frame_metrics(points, step)
-    q = stats.nearest_quantile
-    fit = each.groupBy("video_id").agg(
-        F.count("*").alias("frames"), F.sum("n").alias("points"), stats.sorted_values(F.col("rigid_rms")).alias("r"), stats.sorted_values(F.col("similarity_rms")).alias("s"),
-        stats.sorted_values(F.col("scale")).alias("c"),
+    scratch = Scratch(points.sparkSession, "metrics")
+    each = scratch.save(frame_metrics(points, step), "frames")
+    moves = scratch.save(movements(each, step), "moves")
+    fit = each.groupBy("video_id").agg(F.count("*").alias("frames"), F.sum("n").alias("points"))
+    move = moves.groupBy("video_id").agg(F.count_distinct("octant").alias("direction_bins"), F.avg(F.col("near").cast("double")).alias("near_share"))
+    named = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("rigid_rms", "similarity_rms", "scale")])
+    values = each.select("video_id", F.inline(named)).unionByName(moves.select("video_id", F.lit("moved").alias("metric"), F.col("moved").alias("value")))
+    at = ranks.exact_ranks(values, ["video_id", "metric"], "value", {"low": ranks.nearest(0.05), "middle": ranks.nearest(0.5), "high": ranks.nearest(0.95)})
+    pick = lambda metric, rank, name: F.coalesce(F.max(F.when(F.col("metric") == metric, F.col(rank))), F.lit(0.0)).alias(name)
+    wide = at.groupBy("video_id").agg(
+        pick("rigid_rms", "middle", "rigid_median"), pick("rigid_rms", "high", "rigid_p95"), pick("similarity_rms", "middle", "similarity_median"), pick("similarity_rms", "high", "similarity_p95"),
+        pick("scale", "low", "scale_p05"), pick("scale", "high", "scale_p95"), pick("moved", "middle", "movement_median"),
     )
-    move = movements(each, step).groupBy("video_id").agg(
-        stats.sorted_values(F.col("moved")).alias("m"), F.count_distinct("octant").alias("direction_bins"), F.avg(F.col("near").cast("double")).alias("near_share")
-    )
-    r, s, c, m = (F.col(x) for x in "rscm")
-    return fit.join(move, "video_id", "left").select(
-        "video_id", "frames", "points", q(r, 0.5).alias("rigid_median"), q(r, 0.95).alias("rigid_p95"), q(s, 0.5).alias("similarity_median"),
-        q(s, 0.95).alias("similarity_p95"), q(c, 0.05).alias("scale_p05"), q(c, 0.95).alias("scale_p95"),
-        F.when(m.isNull(), 0.0).otherwise(q(m, 0.5)).alias("movement_median"), F.coalesce("direction_bins", F.lit(0)).alias("direction_bins"),
-        F.coalesce("near_share", F.lit(0.0)).alias("near_share"),
+    return fit.join(wide, "video_id").join(move, "video_id", "left").select(
+        "video_id", "frames", "points", "rigid_median", "rigid_p95", "similarity_median", "similarity_p95", "scale_p05", "scale_p95", "movement_median",
+        F.coalesce("direction_bins", F.lit(0)).alias("direction_bins"), F.coalesce("near_share", F.lit(0.0)).alias("near_share"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators import ranks
+
 
 def bridge_chains(pairs: DataFrame, path: DataFrame, track: str, order: str) -> DataFrame:
     """For each failed pair (``reference``, ``current``) the chain of consecutive frames between its ends.
@@ -71,9 +73,8 @@ def role(elapsed: Column, duration: Column, validation_from: float, old: Column
 
 def display_range(values: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """A symmetric range about the middle that holds the inner 96 % of values, 0.02 wide at least."""
-    s = values.groupBy(*key).agg(F.sort_array(F.collect_list(value)).alias("s"))
-    at = lambda q: F.get("s", F.floor((F.size("s") - 1) * F.lit(q)).cast("int"))
-    half = F.greatest(F.lit(0.01), F.abs(at(0.02) - 1), F.abs(at(0.98) - 1))
+    s = ranks.exact_ranks(values, key, value, {"a": ranks.lower(0.02), "b": ranks.lower(0.98)})
+    half = F.greatest(F.lit(0.01), F.abs(F.col("a") - 1), F.abs(F.col("b") - 1))
     return s.select(*key, (1 - half).alias("low"), (1 + half).alias("high"))
 
 

@@ -26,6 +26,10 @@ class Plane:
         """Sharpest first, unknown last, then by frame."""
         return [F.col(self.score).desc_nulls_last(), F.col(self.frame).asc()]
 
+    def key(self) -> Column:
+        """The same order as one column, the sharpest smallest."""
+        return F.struct(F.col(self.score).isNull().alias("unknown"), (-F.col(self.score)).alias("score"), F.col(self.frame).alias("frame"))
+
     def extent(self, df: DataFrame) -> DataFrame:
         """Frames with a pose, with the sine and cosine of it and the box around the frame."""
         c, s = F.cos("rotation"), F.sin("rotation")
@@ -76,15 +80,19 @@ def _whole(plane: Plane) -> Column:
     return corners[0] & corners[1] & corners[2] & corners[3]
 
 
-def merge_frames(plane: Plane, frames: DataFrame, most: int, cell: float = 64.0, probes: int = 8) -> DataFrame:
+def merge_frames(plane: Plane, frames: DataFrame, most: int, feather: float = 0.1, probes: int = 8) -> DataFrame:
     """The frames that a mosaic of the ``most`` sharpest ones per place needs.
 
-    A frame is needed if at any probe it has at most ``most`` sharper ones. Before cells are opened into
-    probes, a frame is dropped from a cell in which more than ``most`` sharper ones cover it whole.
+    A frame is needed if at any probe it has at most ``most`` sharper ones. Cells are 64 px wide, or as wide as the
+    feathered edge. Before they are opened into probes, a frame is dropped from a cell in which more than ``most`` sharper
+    ones cover it whole: those after the last of the sharpest ``most`` + 1 that do. These are limited before they are
+    moved, and the rest is a join, so a cell under very many frames is no single sort.
     """
-    cells = cover_cells(plane, frames, cell, 1.0)
-    sharper = Window.partitionBy("cell_col", "cell_row").orderBy(*plane.order()).rowsBetween(Window.unboundedPreceding, -1)
-    open_cells = cells.withColumn("over", F.coalesce(F.sum(_whole(plane).cast("int")).over(sharper), F.lit(0))).where(F.col("over") <= most)
+    cells = cover_cells(plane, frames, max(64.0, plane.width * max(0.025, feather)), 1.0).withColumn("key", plane.key())
+    rank = F.row_number().over(Window.partitionBy("cell_col", "cell_row").orderBy("key"))
+    whole = cells.where(_whole(plane)).select("cell_col", "cell_row", "key").withColumn("rank", rank).where(F.col("rank") <= most + 1)
+    last = whole.where(F.col("rank") == most + 1).select("cell_col", "cell_row", F.col("key").alias("last"))
+    open_cells = cells.join(last, ["cell_col", "cell_row"], "left").where(F.col("last").isNull() | (F.col("key") <= F.col("last")))
     k = F.explode(F.sequence(F.lit(0), F.lit(probes * probes - 1)))
     opened = open_cells.select(plane.frame, plane.score, "x", "y", "c", "s", "cell_col", "cell_row", "x0", "y0", "x1", "y1", k.alias("probe"))
     px = F.col("x0") + (F.col("probe") % probes + 0.5) / probes * (F.col("x1") - F.col("x0"))
@@ -121,10 +129,14 @@ def block_summary(blocks: DataFrame, least: int = 3) -> DataFrame:
     return blocks.agg(F.count("*").alias("blocks"), F.count(F.when(F.col("covered") < least, 1)).alias("short_blocks"), F.count(F.when(F.col("covered") == 0, 1)).alias("uncovered_blocks"))
 
 
-def tiles(plane: Plane, frames: DataFrame, tile: int, margin: float = 1.0) -> DataFrame:
-    """Every tile of the mosaic that a frame's box meets, with its frames in order."""
+def tiles(plane: Plane, frames: DataFrame, tile: int, margin: float = 1.0, most: int = 8) -> DataFrame:
+    """Every tile of the mosaic that a frame's box meets: how many frames, the first, and the ``most`` sharpest in order."""
     cells = cover_cells(plane, frames, float(tile), margin)
-    return cells.groupBy("cell_row", "cell_col").agg(F.count("*").alias("frames"), F.min(plane.frame).alias("first_frame"))
+    counts = cells.groupBy("cell_row", "cell_col").agg(F.count("*").alias("frames"), F.min(plane.frame).alias("first_frame"))
+    rank = F.row_number().over(Window.partitionBy("cell_row", "cell_col").orderBy(*plane.order()))
+    best = cells.select("cell_row", "cell_col", plane.frame, plane.score).withColumn("rank", rank).where(F.col("rank") <= most)
+    held = best.groupBy("cell_row", "cell_col").agg(F.array_sort(F.collect_list(F.struct("rank", plane.frame))).alias("l"))
+    return counts.join(held.select("cell_row", "cell_col", F.col(f"l.{plane.frame}").alias("sharpest")), ["cell_row", "cell_col"])
 
 
 def tile_parts(tiles_: DataFrame, rows_per_part: int) -> DataFrame:
@@ -147,6 +159,15 @@ def apart(plane: Plane, a: str, b: str) -> Column:
     return tests[0] | tests[1] | tests[2] | tests[3]
 
 
+def _previous(df: DataFrame, item: str, width: int = 4096) -> DataFrame:
+    """Every item (a whole number) with the next smaller one of the table: within blocks, and over the ends of blocks."""
+    placed = df.select(item, F.floor(F.col(item) / width).alias("block"))
+    ends = placed.groupBy("block").agg(F.max(item).alias("end"))  # one row for each block of the order
+    carried = ends.select("block", F.lag("end").over(Window.orderBy("block")).alias("carried"))
+    inside = placed.withColumn("inside", F.lag(item).over(Window.partitionBy("block").orderBy(item)))
+    return inside.join(carried, "block").select(item, F.coalesce("inside", "carried").alias("previous"))
+
+
 def overlap_pairs(plane: Plane, frames: DataFrame, neighbours: int = 4, least_support: int = 4, recent: int = 31) -> DataFrame:
     """Pairs of overlapping frames with their support, the probes of the common box that both hold.
 
@@ -166,7 +187,7 @@ def overlap_pairs(plane: Plane, frames: DataFrame, neighbours: int = 4, least_su
     old = ranked.select(F.col(plane.frame).alias("a"), "i", "j", F.col("rank").alias("ra"), block.alias("k"))
     near = now.join(old, ["i", "j", "k"]).where((F.col("ra") < F.col("rb")) & (F.col("rb") - F.col("ra") <= recent)).select("a", "b")
     first = ranked.where("rank = 1").select(F.col(plane.frame).alias("a"), "i", "j").join(ranked.where("rank > 1").select(F.col(plane.frame).alias("b"), "i", "j"), ["i", "j"]).select("a", "b")
-    before = one.select(F.lag(plane.frame).over(Window.orderBy(plane.frame)).alias("a"), F.col(plane.frame).alias("b")).where("a IS NOT NULL")
+    before = _previous(one, plane.frame).withColumnsRenamed({"previous": "a", plane.frame: "b"}).where("a IS NOT NULL").select("a", "b")
     chosen = near.unionAll(first).distinct().withColumn("kind", F.lit("spatial")).unionAll(before.withColumn("kind", F.lit("temporal")))
     side = lambda p: one.select(F.col(plane.frame).alias(p), *[F.col(f).alias(f"{p}_{f}") for f in fields])
     both = chosen.join(side("a"), "a").join(side("b"), "b").where(~apart(plane, "a_", "b_"))
@@ -182,16 +203,24 @@ def overlap_pairs(plane: Plane, frames: DataFrame, neighbours: int = 4, least_su
     return temporal.unionByName(spatial).select(F.col("a").alias("reference"), F.col("b").alias("current"), "kind", "support")
 
 
-def nearest(points: DataFrame, item: str, group: Sequence[str], k: int, reach: float, levels: Sequence[float] = (1 / 64, 1 / 16, 1 / 4)) -> DataFrame:
-    """The ``k`` nearest other items of each item of the same group within ``reach``; ties by item.
+def nearest(points: DataFrame, item: str, group: Sequence[str], k: int, reach: float, barred: DataFrame | None = None, levels: Sequence[float] = (1 / 64, 1 / 16, 1 / 4)) -> DataFrame:
+    """The ``k`` nearest other items of each item of the same group nearer than ``reach``; ties by item.
 
     An item that has ``k`` others within a part of the reach needs no others, so dense places are settled on
-    fine grids and only what is left asks on coarser ones, the last of which is exact for all.
+    fine grids and only what is left asks on coarser ones, the last of which is exact for all. Of many items at one and the same
+    place only the smallest can be among the nearest, so the others only ask. ``barred`` has pairs (``reference`` <
+    ``current``) that do not count.
     """
     at = points.select(*group, item, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    spare = 0
+    if barred is not None:
+        ends = barred.select(*group, F.explode(F.array("reference", "current")).alias(item))
+        spare = ends.groupBy(*group, item).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    first = F.row_number().over(Window.partitionBy(*group, "x", "y").orderBy(item))
+    near = at.withColumn("first", first).where(F.col("first") <= k + 1 + spare).drop("first")
     asks, found = at, None
     for part in [*levels, 1.0]:
-        here = _within(asks, at, item, group, k, reach * part)
+        here = _within(asks, near, item, group, k, reach * part, barred)
         if part < 1.0:
             full = here.groupBy(*group, "ask").agg(F.count("*").alias("n")).where(F.col("n") == k).select(*group, F.col("ask").alias(item))
             asks = asks.join(full, [*group, item], "left_anti")
@@ -200,20 +229,40 @@ def nearest(points: DataFrame, item: str, group: Sequence[str], k: int, reach: f
     return found
 
 
-def _within(asks: DataFrame, points: DataFrame, item: str, group: Sequence[str], k: int, reach: float) -> DataFrame:
+def _within(asks: DataFrame, points: DataFrame, item: str, group: Sequence[str], k: int, reach: float, barred: DataFrame | None) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / reach)
     placed = points.select(*group, item, "x", "y", cell("x").alias("i"), cell("y").alias("j"))
     around = F.array(*[F.struct((cell("x") + a).alias("i"), (cell("y") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     opened = asks.select(*group, F.col(item).alias("ask"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.inline(around))
     d = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
-    pairs = opened.join(placed, [*group, "i", "j"]).where((F.col("ask") != F.col(item)) & (d <= reach * reach)).select(*group, "ask", item, d.alias("d"))
+    pairs = opened.join(placed, [*group, "i", "j"]).where((F.col("ask") != F.col(item)) & (d < reach * reach)).select(*group, "ask", item, d.alias("d"))
+    if barred is not None:
+        pairs = pairs.withColumns({"reference": F.least("ask", item), "current": F.greatest("ask", item)}).join(barred, [*group, "reference", "current"], "left_anti")
     rank = F.row_number().over(Window.partitionBy(*group, "ask").orderBy("d", item))
     return pairs.withColumn("place", rank).where(F.col("place") <= k).select(*group, "ask", F.col(item).alias("near"), "place", F.sqrt("d").alias("distance"))
 
 
+def fine_pairs(points: DataFrame, known: DataFrame, barred: DataFrame, item: str, group: Sequence[str], k: int, reach: float) -> DataFrame:
+    """The pairs to measure finely, each once: those of every item with its ``k`` nearest and with the strongest known partner within reach.
+
+    ``known`` has ``reference`` < ``current`` and ``weight``; ``barred`` pairs do not count.
+    """
+    g = list(group)
+    close = nearest(points, item, g, k, reach, barred).select(*g, F.least("ask", "near").alias("reference"), F.greatest("ask", "near").alias("current"))
+    end = lambda c, p: points.select(*g, F.col(item).alias(c), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")).where(f"{p}x IS NOT NULL AND {p}y IS NOT NULL")
+    held = known.join(barred, [*g, "reference", "current"], "left_anti").join(end("reference", "a"), [*g, "reference"]).join(end("current", "b"), [*g, "current"])
+    d = (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay"))
+    ends = held.withColumn("d", d).where(F.col("d") < reach * reach).select(*g, "reference", "current", "weight", "d", F.explode(F.array("reference", "current")).alias("ask"))
+    other = F.col("reference") + F.col("current") - F.col("ask")
+    strong = ends.withColumn("place", F.row_number().over(Window.partitionBy(*g, "ask").orderBy(F.desc("weight"), "d", other))).where("place = 1")
+    return close.unionByName(strong.select(*g, "reference", "current")).distinct()
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, group: Sequence[str], reach: float) -> DataFrame:
-    """Pairs of points (``a``, ``b``) of a group, each the nearest of the other side within ``reach``."""
-    both = left.join(right, list(group))
+    """Pairs of points (``a``, ``b``) of a group, each the nearest of the other side within ``reach``; candidates come from a grid of the reach."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.array(*[F.struct((cell("ax") + i).alias("i"), (cell("ay") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    both = left.select("*", F.inline(around)).join(right.withColumns({"i": cell("bx"), "j": cell("by")}), [*group, "i", "j"])
     d = (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay"))
     near = both.select(*group, "a", "b", d.alias("d")).where(F.col("d") <= reach * reach)
     of_a = F.row_number().over(Window.partitionBy(*group, "a").orderBy("d", "b"))

@@ -71,7 +71,7 @@ def block_summary(spark, folder):
     return ops.block_summary(ops.block_ranks(PLANE, _frames(spark, folder)))
 
 
-TILES = f"{FRAMES}, {_cells(512, 1)}, tl AS (SELECT cell_row, cell_col, count(*) AS frames, min(frame) AS first_frame FROM cells GROUP BY ALL)"
+TILES = f"{FRAMES}, {_cells(512, 1)}, tl AS (SELECT cell_row, cell_col, count(*) AS frames, min(frame) AS first_frame, list(frame ORDER BY sharpness DESC NULLS LAST, frame)[1:8] AS sharpest FROM cells GROUP BY ALL)"
 
 
 @query("tile_plan", f"{TILES} SELECT * FROM tl")
@@ -117,14 +117,29 @@ def overlap_pairs(spark, folder):
     return pairs.select("reference", "current", (F.col("kind") == "temporal").alias("temporal"), "support")
 
 
-@query("fine_pairs", f"""WITH {PATH}, g AS (SELECT video_id, frame, x, y FROM path WHERE x IS NOT NULL),
-    n AS (SELECT a.video_id, a.frame AS ask, b.frame AS near, sqrt((b.x-a.x)**2+(b.y-a.y)**2) AS d, row_number() OVER (PARTITION BY a.video_id, a.frame ORDER BY (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y), b.frame) AS place
-          FROM g a JOIN g b ON b.video_id = a.video_id AND b.frame <> a.frame AND (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) <= 16)
-    SELECT video_id, ask, near, place, round(d, 4) AS distance FROM n WHERE place <= 3""")
-def fine_pairs(spark, folder):
+NEIGHBOURS = f"""WITH {PATH}, g AS (SELECT video_id, frame, x, y FROM path WHERE x IS NOT NULL),
+    n AS (SELECT a.video_id, a.frame AS ask, b.frame AS near, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) AS d, least(a.frame, b.frame) AS reference, greatest(a.frame, b.frame) AS current
+          FROM g a JOIN g b ON b.video_id = a.video_id AND b.frame <> a.frame AND (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) < 16)"""
+
+
+@query("nearest_frames", f"""{NEIGHBOURS}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, ask ORDER BY d, near) AS place FROM n)
+    SELECT video_id, ask, near, place, round(sqrt(d), 4) AS distance FROM r WHERE place <= 3""")
+def nearest_frames(spark, folder):
     return rounded(ops.nearest(path(spark, folder).where("x IS NOT NULL"), "frame", ["video_id"], 3, 4.0))
 
 
+@query("fine_pairs", f"""{NEIGHBOURS}, dl AS (SELECT video_id, frame AS reference, frame + 1 AS current FROM path WHERE success = false),
+    kn AS (SELECT video_id, least(frame, matched) AS reference, greatest(frame, matched) AS current, max(1 + frame % 8) AS weight FROM path WHERE accepted AND matched <> frame GROUP BY ALL),
+    m AS (SELECT n.*, weight FROM n ANTI JOIN dl USING (video_id, reference, current) LEFT JOIN kn USING (video_id, reference, current)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY video_id, ask ORDER BY d, near) AS place, row_number() OVER (PARTITION BY video_id, ask ORDER BY weight DESC NULLS LAST, d, near) AS strong FROM m)
+    SELECT DISTINCT video_id, reference, current FROM r WHERE place <= 3 OR (strong = 1 AND weight IS NOT NULL)""")
+def fine_pairs(spark, folder):
+    p = path(spark, folder)
+    known = p.where("accepted AND matched != frame").groupBy("video_id", F.least("frame", "matched").alias("reference"), F.greatest("frame", "matched").alias("current")).agg(F.max(1 + F.col("frame") % 8).alias("weight"))
+    barred = p.where("success = false").select("video_id", F.col("frame").alias("reference"), (F.col("frame") + 1).alias("current"))
+    return ops.fine_pairs(p.where("x IS NOT NULL"), known, barred, "frame", ["video_id"], 3, 4.0)
+
+
 @query("mutual_nearest", f"""WITH {OBSERVATIONS}, o AS (SELECT frame_id, lead(frame_id) OVER (PARTITION BY video_id ORDER BY frame_id) AS nxt FROM obs),
     d AS (SELECT a.frame_id, a.pos AS a, b.pos AS b, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) AS d FROM o JOIN pts a ON a.frame_id = o.frame_id JOIN pts b ON b.frame_id = o.nxt),
     r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, a ORDER BY d, b) AS ka, row_number() OVER (PARTITION BY frame_id, b ORDER BY d, a) AS kb FROM d WHERE d <= 192*192)
