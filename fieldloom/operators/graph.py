@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import pose as P
 from fieldloom.kernels.forest import folder
+from fieldloom.operators.steps import chosen_in_order
 from fieldloom.storage import Scratch
 
 
@@ -215,31 +217,25 @@ def adjusted_poses(nodes: DataFrame, edges: DataFrame, key: Sequence[str], round
 def keyframes(path: DataFrame, track: str, order: str, spacing: float, turn_degrees: float = 25.0, gap: int = 256) -> DataFrame:
     """The rows that differ enough from the last chosen one, and both ends of each track.
 
-    The choice depends on the last chosen row, so a track is folded in order, in one task and in batches of
-    rows; of the path only the order column and the pose are moved.
+    Sharp bends and the ends are found by windows; as the choice depends on the last chosen row, the rows then
+    stream by in order, one task for a track, holding a batch and one row.
     """
-    limit = np.radians(turn_degrees)
+    limit = float(np.radians(turn_degrees))
+    by = Window.partitionBy(track).orderBy(order)
     rows = path.where("x IS NOT NULL").select(track, order, "x", "y", "rotation")
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-
-    def fold(data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values(order).reset_index(drop=True)
-        f, x, y, r = (data[c].to_numpy() for c in (order, "x", "y", "rotation"))
-        n = len(data)
-        turns = np.zeros(n, bool)
-        if n > 2:
-            dx, dy = np.diff(x), np.diff(y)
-            head, step = np.arctan2(dy, dx), np.hypot(dx, dy)
-            bend = head[1:] - head[:-1]
-            turns[1:-1] = (step[:-1] > 1) & (step[1:] > 1) & (np.abs(np.arctan2(np.sin(bend), np.cos(bend))) >= limit)
-        chosen, last = [0], 0
-        for i in range(1, n - 1):
-            angle = abs(np.arctan2(np.sin(r[i] - r[last]), np.cos(r[i] - r[last])))
-            if turns[i] or f[i] - f[last] >= gap or angle >= limit or np.hypot(x[i] - x[last], y[i] - y[last]) >= spacing:
-                chosen.append(i)
-                last = i
-        if n > 1:
-            chosen.append(n - 1)
-        return data.iloc[chosen]
-
-    return rows.groupBy(track).applyInPandas(fold, schema)
+    step = rows.withColumns({"dx": F.lead("x").over(by) - F.col("x"), "dy": F.lead("y").over(by) - F.col("y")})
+    before = step.withColumns({"bx": F.lag("dx").over(by), "by": F.lag("dy").over(by)})
+    size = lambda x, y: F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)) > 1
+    bend = F.abs(P.wrap(F.atan2("dy", "dx") - F.atan2("by", "bx"))) >= limit
+    end = F.col("dx").isNull() | F.col("bx").isNull()
+    marked = before.select(track, order, "x", "y", "rotation", F.coalesce(end | (size("dx", "dy") & size("bx", "by") & bend), end).alias("sure"))
+
+    def choose(last: tuple | None, c: dict[str, np.ndarray], i: int) -> tuple[bool, tuple | None]:
+        f, x, y, r = c[order][i], c["x"][i], c["y"][i], c["rotation"][i]
+        if last is not None and not c["sure"][i]:
+            turn = r - last[3]
+            if f - last[0] < gap and abs(np.arctan2(np.sin(turn), np.cos(turn))) < limit and np.hypot(x - last[1], y - last[2]) < spacing:
+                return False, last
+        return True, (f, x, y, r)
+
+    return chosen_in_order(marked, track, order, lambda: None, choose).drop("sure")

@@ -131,3 +131,25 @@ def frame_report(pairs: DataFrame, track: str) -> DataFrame:
     return ends.groupBy(track, "frame").agg(F.count("*").alias("attempts"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.min(F.struct("value", "partner")).alias("worst")).select(
         track, "frame", "attempts", "accepted", F.col("worst.value").alias("worst_score"), F.col("worst.partner").alias("worst_partner")
     )
+
+
+def consensus_or_prediction(votes: DataFrame, predictions: DataFrame, key: Sequence[str], item: str, tolerance: float, lever: float) -> DataFrame:
+    """Every prediction (``px``, ``py``, ``protation``), replaced by the consensus of its votes where there is one; turns are averaged about the prediction."""
+    k = list(key)
+    turned = votes.join(predictions.select(*k, "protation"), k).withColumn("rotation", P.wrap(F.col("rotation") - F.col("protation"))).drop("protation")
+    agreed = _medians(turned, key, item, tolerance, lever)
+    both = predictions.join(agreed, k, "left")
+    return both.select(*k, F.col("inliers").isNotNull().alias("supported"), F.coalesce("x", "px").alias("x"), F.coalesce("y", "py").alias("y"), (F.col("protation") + F.coalesce("rotation", F.lit(0.0))).alias("rotation"))
+
+
+def _medians(votes: DataFrame, key: Sequence[str], item: str, tolerance: float, lever: float) -> DataFrame:
+    """As ``consensus``, the median turn taken as it stands."""
+    k = list(key)
+    a = votes.select(*k, F.col(item).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rotation").alias("ar"))
+    both = a.join(votes.select(*k, "x", "y", "rotation"), k)
+    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
+    near = both.where(F.sqrt(dx * dx + dy * dy) + F.abs(P.wrap(F.col("rotation") - F.col("ar"))) * lever <= tolerance)
+    sets = near.groupBy(*k, "a").agg(F.count("*").alias("inliers"), *[stats.upper_quantile(stats.sorted_values(F.col(c)), 0.5).alias(c) for c in ("x", "y", "rotation")])
+    best = sets.withColumn("k", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("inliers"), "a"))).where("k = 1")
+    total = votes.groupBy(*k).agg(F.count("*").alias("votes"))
+    return best.join(total, k).where("inliers >= 2 AND 2 * inliers > votes").select(*k, "inliers", "x", "y", "rotation")

@@ -186,3 +186,18 @@ def reference_order(frames: DataFrame, preferred: DataFrame) -> DataFrame:
     first = F.col("frame_id").eqNullSafe(F.col("preferred"))
     order = Window.partitionBy("video_id").orderBy(first.desc(), F.size("points").desc(), "frame_id")
     return frames.join(preferred.select("video_id", "preferred"), "video_id", "left").select("video_id", "frame_id", F.row_number().over(order).alias("place"))
+
+
+def white_parity(cells: DataFrame, key: list[str], value: str, contrast: float = 1.35) -> DataFrame:
+    """Which parity of ``row + col`` is the white one, by the middle brightness of both; null without enough contrast."""
+    parity = (F.col("row") + F.col("col")) % 2
+    m = cells.groupBy(*key).agg(*[F.median(F.when(parity == p, F.col(value))).alias(n) for p, n in ((0, "a"), (1, "b"))])
+    clear = F.greatest("a", "b") >= F.least("a", "b") * contrast
+    return m.select(*key, F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & clear, (F.col("b") > F.col("a")).cast("int")).alias("parity"))
+
+
+def block_luminance(pixels: DataFrame, key: list[str], deviation: float = 0.035, span: float = 0.16) -> DataFrame:
+    """The mean light (``v``) of the blocks that are even and neither dark nor saturated (``g`` below 253)."""
+    m = pixels.groupBy(*key).agg(F.max("g").alias("top"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("luminance"), F.stddev_pop("v").alias("sd"))
+    even = (F.col("sd") / F.col("luminance") <= deviation) & ((F.col("high") - F.col("low")) / F.col("luminance") <= span)
+    return m.where((F.col("top") < 253) & (F.col("low") > 0.01) & even).select(*key, "luminance")

@@ -54,3 +54,9 @@ def tracking_documents(path: DataFrame, video: str) -> DataFrame:
                      F.when(F.col("x").isNotNull(), F.struct("x", "y", "rotation")).alias("pose"), "success")
     docs = path.groupBy(video).agg(F.array_sort(F.collect_list(entry)).alias("path"))
     return docs.select(video, F.to_json(F.struct(F.lit("tracking").alias("format"), F.lit(1).alias("model_version"), "path")).alias("document"))
+
+
+def pattern_squares(spark: SparkSession, side: int = 100, size: int = 12) -> DataFrame:
+    """The dark squares of a checkerboard of ``side`` by ``side``, with their corner in pixels."""
+    cells = spark.range(side * side).select(F.floor(F.col("id") / side).alias("row"), (F.col("id") % side).alias("col"))
+    return cells.where("(row + col) % 2 = 0").select("row", "col", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"))
