@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def evaluate(points: DataFrame, coefficients: DataFrame, key: str, x: str, y: st
         total("weight", "dx").alias("dx"), total("weight", "dy").alias("dy"), (1 + total("weight_x", "dx")).alias("xx"),
         total("weight_y", "dx").alias("xy"), total("weight_x", "dy").alias("yx"), (1 + total("weight_y", "dy")).alias("yy"),
     )
+
+
+def affine_start(df: DataFrame, width: Column, height: Column, spacing: int, affine: Sequence[Column]) -> DataFrame:
+    """Rows once for each control point (``col``, ``row``) of a picture, with the shift ``dx``, ``dy`` of an affine map (xx, xy, yx, yy, x, y) there."""
+    count = lambda size: F.floor((size - 1) / spacing) + 3
+    grid = df.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), count(width)))).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), count(height))))
+    px, py = (F.col("col") - 1) * spacing, (F.col("row") - 1) * spacing
+    xx, xy, yx, yy, ox, oy = affine
+    return grid.withColumns({"dx": (xx - 1) * px + xy * py + ox, "dy": yx * px + (yy - 1) * py + oy})

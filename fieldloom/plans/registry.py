@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from fieldloom.plans import faults, images, masks, matches, network, observations, paths, planning, rules, spatial, steps  # noqa: F401
+    from fieldloom.plans import calibration, faults, images, masks, matches, network, observations, paths, planning, rules, spatial, steps  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
