@@ -30,7 +30,7 @@ from fieldloom.storage import Scratch
 #: Weight of the background for each thousand letters of a text, a Chinese sign counting as three letters.
 BACKGROUND = 2.0
 #: Texts that a specificity of 1 is taken for in advance, and labels that those of all areas count as for each area.
-PRIOR_TEXTS, PRIOR_LABELS = 20, 50
+PRIOR_TEXTS, PRIOR_LABELS = 20, 200
 #: Labelled texts that the thresholds are calibrated on at most, those of the smallest hashes; steps of the score.
 LABELLED, STEPS = 20_000, 100
 
@@ -210,19 +210,19 @@ def subject_areas(df: DataFrame, labels: DataFrame, key: str, text: str) -> Data
     return scores.join(F.broadcast(limits), "area").where(F.col("score") >= F.col("least")).select(key, "area", "score", "hits")
 
 
-def _plateau(f1: np.ndarray) -> float:
-    """The middle of the first run of steps at which ``f1`` is greatest."""
+def _best_step(f1: np.ndarray, crowd: np.ndarray) -> float:
+    """Of the steps at which ``f1`` is greatest those with the fewest scores around, and of these the middle."""
     top = np.flatnonzero(f1 >= f1.max() - 1e-9)
-    gap = np.flatnonzero(np.diff(top) > 1)
-    return float(top[: gap[0] + 1 if len(gap) else None].mean())
+    few = top[crowd[top] == crowd[top].min()]
+    return float(few[(len(few) - 1) // 2])
 
 
 def calibrate(scores: DataFrame, labels: DataFrame, key: str, bound: int = LABELLED) -> dict[str, float]:
     """The least score of every area, that with the best F1 on at most ``bound`` labelled texts.
 
     Labels are compared without regard to case and outer blanks, repeated ones count once. An area is judged
-    by its own counts and, as if they were ``PRIOR_LABELS`` more labels, by those of all areas; of a run of equally
-    good steps the middle is taken. Without any label it is 0.07.
+    by its own counts and, as if they were ``PRIOR_LABELS`` more labels, by those of all areas; of equally good
+    steps the one with the fewest scores of all texts around it is taken. Without any label it is 0.07.
     """
     names = sorted(AREAS)
     clean = labels.select(key, F.lower(F.trim("area")).alias("area")).dropna().where(F.col("area").isin(names)).distinct()
@@ -239,4 +239,8 @@ def calibrate(scores: DataFrame, labels: DataFrame, key: str, bound: int = LABEL
     mixed = counts + counts.sum(axis=0) * (PRIOR_LABELS / real.sum())
     upward = mixed[:, STEPS - 1 :: -1].cumsum(axis=1)[:, ::-1]  # counts from each step on
     f1 = 2 * upward[..., 1] / (upward.sum(axis=2) + real[:, None] + PRIOR_LABELS)
-    return {name: _plateau(f1[i]) / STEPS for i, name in enumerate(names)}
+    held = np.zeros(STEPS)
+    for r in scores.groupBy(F.least(F.lit(STEPS - 1), F.floor(F.col("score") * STEPS)).cast("int").alias("step")).count().collect():  # one row for each step
+        held[r["step"]] = r["count"]
+    crowd = np.convolve(held, np.ones(3), "same")
+    return {name: _best_step(f1[i], crowd) / STEPS for i, name in enumerate(names)}
