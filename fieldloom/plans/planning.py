@@ -9,6 +9,7 @@ from fieldloom.operators import fits
 from fieldloom.operators import planning as ops
 from fieldloom.operators import windows
 from fieldloom.operators.observations import error_statistics, heldout_errors
+from fieldloom.plans.observations import ERRORS
 from fieldloom.plans.registry import query
 
 FAILED = "fl AS (SELECT DISTINCT video_id, matched AS reference, frame AS current FROM path WHERE accepted = false AND matched < frame)"
@@ -49,11 +50,18 @@ def remove_unselected(spark, folder):
     return ops.kept(p, p.where("x IS NOT NULL AND success"), "video_id", "frame", "matched").select("video_id", "frame", "matched")
 
 
-@query("quality_verdict", f"""WITH {OBSERVATIONS}, g AS (SELECT video_id, count(*) AS frames, sum(len(points)) AS n, avg((len(points) >= 9)::INT) AS share FROM obs WHERE role = 'validation' AND points IS NOT NULL GROUP BY video_id)
-    SELECT video_id, CASE WHEN n >= 20 AND frames >= 2 AND share >= 0.6 AND frames/100.0::DOUBLE <= 0.5 THEN 'validated' ELSE 'provisional' END AS quality FROM g""")
+#: The 95 % error that counts as good here: the test grids are numbered differently from frame to frame, so fits are far from pixels.
+GOOD = 20.0
+
+
+@query("quality_verdict", f"""{ERRORS}, g AS (SELECT video_id, count(*) AS frames, sum(len(points)) AS n, avg((len(points) >= 9)::INT) AS share FROM obs WHERE role = 'validation' AND points IS NOT NULL GROUP BY video_id),
+    v AS (SELECT video_id, list_sort(list(se)) AS s FROM e WHERE role = 'validation' GROUP BY video_id)
+    SELECT g.video_id, CASE WHEN n >= 20 AND frames >= 2 AND share >= 0.6 AND s[least(len(s)-1, floor(len(s)*0.95))::INT+1] <= {GOOD} THEN 'validated' ELSE 'provisional' END AS quality FROM g LEFT JOIN v ON v.video_id = g.video_id""")
 def quality_verdict(spark, folder):
     g = observations(spark, folder).where("role = 'validation' AND points IS NOT NULL").groupBy("video_id").agg(F.count("*").alias("frames"), F.sum(F.size("points")).alias("n"), F.avg((F.size("points") >= 9).cast("int")).alias("share"))
-    return g.select("video_id", ops.quality(F.col("n"), F.col("frames"), F.col("share"), F.col("frames") / 100.0).alias("quality"))
+    errors = error_statistics(fits.residuals(points(spark, folder).where("role = 'validation'"), ["video_id", "frame_id"]), ["video_id"], "similarity_error")
+    both = g.join(errors.select("video_id", "p95"), "video_id", "left")
+    return both.select("video_id", ops.quality(F.col("n"), F.col("frames"), F.col("share"), F.col("p95"), GOOD).alias("quality"))
 
 
 @query("heldout_verdict")
