@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fieldloom.functions import pose as P
+
 
 def _in_order(frames: Iterator[pd.DataFrame], order: str, last: int) -> pd.DataFrame:
     rows = pd.concat(list(frames)).sort_values(order, kind="stable").drop_duplicates(order)
@@ -80,7 +82,36 @@ def failure_rates(entries: DataFrame, time: str, track: str, width: str = "1 min
 
 
 def corrected_view(poses: DataFrame, corrections: DataFrame, track: str, order: str) -> DataFrame:
-    """Poses as they are after all logged closures: an append-only log stands in for rewriting emitted rows."""
-    from fieldloom.operators.windows import closed_loops
+    """Poses with all logged closures of their track spread over them, of a stream as of a table.
+
+    The log (``anchor``, ``frame``, ``dx``, ``dy``, ``turn``) is read as a table; a track has few closures. Rows that were given out before a
+    closure was logged are not taken back: a reader who needs them corrected reads the poses again.
+    """
+    span = F.col("frame") - F.col("anchor")
+    log = corrections.where(span > 0).groupBy(track).agg(F.collect_list(F.struct("anchor", "frame", "dx", "dy", "turn")).alias("log"))
+    at = F.col(order)
+    share = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - c["anchor"]) / (c["frame"] - c["anchor"])))
+    moved = lambda name: F.coalesce(F.aggregate("log", F.lit(0.0), lambda s, c: s + share(c) * c[name]), F.lit(0.0))
+    both = poses.where("x IS NOT NULL").join(log, track, "left")
+    return both.select(track, order, (F.col("x") + moved("dx")).alias("x"), (F.col("y") + moved("dy")).alias("y"), P.wrap(F.col("rotation") + moved("turn")).alias("rotation"))
+
 
-    return closed_loops(poses, corrections, track, order)
+def stream_context(path: DataFrame, track: str, order: str, score: str, interval: int = 8) -> DataFrame:
+    """The rows of a stream at which a surrounding search runs: the first of a track, those ``interval`` or more after the last one that ran, and those of a score below 0.75."""
+    kind = dict(path.dtypes)[track]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, last = state.get if state.exists else (-1, None)
+        rows = _in_order(frames, order, seen)
+        if rows.empty:
+            return
+        chosen = []
+        for at, low in zip(rows[order].tolist(), (rows["s"] < 0.75).tolist(), strict=True):
+            if last is None or at - last >= interval or low:
+                chosen.append(at)
+                last = at
+        state.update((int(rows[order].iloc[-1]), last))
+        yield pd.DataFrame({track: [key[0]] * len(chosen), order: chosen})
+
+    rows = path.select(track, F.col(order).cast("long").alias(order), F.coalesce(F.col(score).cast("double"), F.lit(float("inf"))).alias("s"))
+    return rows.groupBy(track).applyInPandasWithState(run, f"`{track}` {kind}, `{order}` long", "seen long, last long", "append", GroupStateTimeout.NoTimeout)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import windows
+from fieldloom.operators import steps, windows
 from fieldloom.streaming import paths
 
 SCHEMA = "track bigint, frame bigint, x double, y double, rotation double, points double, success boolean, t timestamp"
@@ -54,3 +54,22 @@ def test_failure_rates(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     got = _run(spark, paths.failure_rates(stream, "t", "track"), "failures", "complete")
     assert got.agg(F.sum("attempts"), F.sum("failures")).first() == (60, 12)
+
+
+def test_context_runs_equal_the_batch(spark, tmp_path):
+    rows = sorted(_rows(), key=lambda r: r[1])
+    low = F.when(F.col("frame") % 21 == 0, 0.5).otherwise(0.9)
+    got = _run(spark, paths.stream_context(_stream(spark, tmp_path, rows).withColumn("s", low), "track", "frame", "s"), "context")
+    want = steps.context_frames(spark.createDataFrame(rows, SCHEMA).withColumn("s", low), "track", "frame", "s")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_closures_correct_a_stream(spark, tmp_path):
+    rows = sorted(_rows(), key=lambda r: r[1])
+    log = spark.createDataFrame([(1, 6, 30, -3.0, 1.0, 0.1), (1, 9, 9, 5.0, 5.0, 5.0), (1, 12, 50, 1.0, 0.0, 0.0)], "track bigint, anchor bigint, frame bigint, dx double, dy double, turn double")
+    got = {(r.track, r.frame): r for r in _run(spark, paths.corrected_view(_stream(spark, tmp_path, rows), log, "track", "frame"), "corrected").collect()}
+    want = windows.closed_loops(spark.createDataFrame(rows, SCHEMA), log, "track", "frame").collect()
+    assert len(got) == len(want)
+    for w in want:
+        g = got[w.track, w.frame]
+        assert (g.x, g.y, g.rotation) == pytest.approx((w.x, w.y, w.rotation))
