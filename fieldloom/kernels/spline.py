@@ -40,6 +40,23 @@ class Lattice:
         w = wy[:, :, None] * wx[:, None, :] / self.spacing ** (dx + dy)
         return at.reshape(len(x), 16), w.reshape(len(x), 16)
 
+    def products(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The 100 different products of two of the 16 weights of each place, one row for each product."""
+        (_, wx), (_, wy) = _weights(x / self.spacing, 0, self.nx), _weights(y / self.spacing, 0, self.ny)
+        a, b = np.triu_indices(4)
+        px, py = (wx[:, a] * wx[:, b]).T, (wy[:, a] * wy[:, b]).T
+        return (py[:, None, :] * px[None, :, :]).reshape(100, len(x))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of the 256 pairs of the 16 control points: both as steps from the first of the 16, and the row of ``products``."""
+        of = np.zeros((4, 4), int)
+        of[np.triu_indices(4)] = np.arange(10)
+        of = np.maximum(of, of.T)
+        j, i = (a.ravel() for a in np.meshgrid(np.arange(4), np.arange(4), indexing="ij"))
+        at = j * self.nx + i
+        first, second = np.repeat(np.arange(16), 16), np.tile(np.arange(16), 16)
+        return at[first], at[second], of[j[first], j[second]] * 10 + of[i[first], i[second]]
+
     def moved(self, c: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the field takes each place."""
         at, w = self.design(x, y)
@@ -149,3 +166,23 @@ def robust_rigid(q: np.ndarray, z: np.ndarray, own: np.ndarray, limit: float, ro
         turn, shift = rigid(q, z, w)
         w = own * np.minimum(1, limit / np.maximum(np.abs(shift + turn * q - z), 1e-20))
     return turn, shift, w
+
+
+def robust_rigids(q: np.ndarray, z: np.ndarray, own: np.ndarray, starts: np.ndarray, limit: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The turns and shifts of ``robust_rigid`` of many runs of points at once; ``starts`` has the first place of each run, none is empty."""
+    sizes = np.diff(np.append(starts, len(q)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    # About the middle of each run, so that sums of products keep their digits.
+    cq, cz = np.add.reduceat(q, starts) / sizes, np.add.reduceat(z, starts) / sizes
+    p, y = q - cq[run], z - cz[run]
+    both = np.conj(p) * y
+    terms = np.stack([np.ones(len(q)), p.real, p.imag, y.real, y.imag, both.real, both.imag])
+    w = own
+    for k in range(rounds):
+        sw, pr, pi, yr, yi, br, bi = np.add.reduceat(terms * w, starts, axis=1)
+        mp, my = (pr + 1j * pi) / sw, (yr + 1j * yi) / sw
+        turn = np.exp(1j * np.angle(br + 1j * bi - sw * np.conj(mp) * my))
+        shift = my - turn * mp
+        if k + 1 < rounds:
+            w = own * np.minimum(1, limit / np.maximum(np.abs(shift[run] + turn[run] * p - y), 1e-20))
+    return turn, shift + cz - turn * cq

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.kernels.spline import Lattice
+from fieldloom.kernels.spline import Lattice, robust_rigid
 from fieldloom.operators import calibration as cal
 
 LATTICE = Lattice(640, 480, 80.0)
@@ -63,3 +63,51 @@ def test_fit_of_a_field(spark, bend, train, heldout):
     plain = cal.field_errors(df.where("NOT train"), cal.start_fields(df.where("train"), steps, LATTICE), LATTICE, heldout=True).agg(F.avg("error")).first()[0]
     assert bend == 0 or errors.rms < plain / 2
     assert cal.fold_checks(fields, LATTICE).first().sound
+
+
+def _naive(frames, step, limit, smooth, rounds, still):
+    """The field of one video, frame by frame."""
+    k = LATTICE.size
+    arrays = {f: np.array([p[:4] + (1.0,) for p in points], float) for _, f, _, points in frames}
+    reference = min((f for f in arrays if cal._affine(arrays[f], step, 0.05)), key=lambda f: (-len(arrays[f]), f))
+    c, before = LATTICE.start(np.array(cal._affine(arrays[reference], step, 0.05))), np.inf
+    for _ in range(rounds):
+        a, b, e, n = smooth * LATTICE.bending() + 1e-9 * np.eye(k), np.zeros((k, 2)), 0.0, 0
+        for f, v in arrays.items():
+            at, w = LATTICE.design(v[:, 2], v[:, 3])
+            (x, y), q = LATTICE.moved(c, v[:, 2], v[:, 3]), step * (v[:, 0] + 1j * v[:, 1])
+            z = x + 1j * y
+            turn, shift, weight = robust_rigid(q, z, v[:, 4], limit)
+            goal = shift + turn * q
+            if f == reference:
+                goal, weight = q, v[:, 4] * np.minimum(1, limit / np.maximum(np.abs(q - z), 1e-20))
+            design = np.zeros((len(v), k))
+            design[np.arange(len(v))[:, None], at] = w
+            a += (design * weight[:, None]).T @ design
+            b += (design * weight[:, None]).T @ np.stack([goal.real - v[:, 2], goal.imag - v[:, 3]], axis=1)
+            e, n = e + (np.abs(goal - z) ** 2).sum(), n + len(v)
+        c, rms = np.linalg.solve(a, b), np.sqrt(e / n)
+        if abs(rms - before) <= still:
+            break
+        before = rms
+    return reference, n, rms, c
+
+
+@pytest.mark.parametrize("whole,jobs", [(50_000, 20), (0, None)])
+def test_small_videos_take_all_turns_in_one_task(spark, monkeypatch, whole, jobs):
+    monkeypatch.setattr(cal, "WHOLE", whole or 1, raising=False)
+    schema = "video_id long, frame_id long, train boolean, points array<struct<grid_col:int,grid_row:int,x:double,y:double,confidence:double>>"
+    videos = {v: _frames(0.3 * v) for v in range(1, 4)}
+    df = spark.createDataFrame([(v, *r[1:]) for v, rows in videos.items() for r in rows], schema)
+    spark.sparkContext.setJobGroup(f"turns{whole}", "")
+    try:
+        got = {r.video_id: r for r in cal.fitted_fields(df, spark.createDataFrame([(v, 40.0) for v in videos], "video_id long, step double"), LATTICE, rounds=4, still=0.0).collect()}
+        used = spark.sparkContext.statusTracker().getJobIdsForGroup(f"turns{whole}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Turns used to be jobs, three and more for each.
+    assert jobs is None or len(used) < jobs
+    for v, rows in videos.items():
+        reference, n, rms, c = _naive(rows, 40.0, 1.5, 0.01, 4, 0.0)
+        assert (got[v].reference, got[v].n) == (reference, n) and abs(got[v].rms - rms) < 1e-9
+        assert np.abs(np.array(got[v].coefficients).reshape(-1, 2) - c).max() < 1e-5
