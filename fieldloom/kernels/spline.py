@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -116,13 +117,16 @@ class Lattice:
         cross itself; then none of the inside overlaps. Where the least stretch is near ``tau`` the grid is doubled once.
         """
         for fine in (steps, 2 * steps):
-            gx, gy = np.linspace(0, self.width - 1, (self.nx - 3) * fine + 1), np.linspace(0, self.height - 1, (self.ny - 3) * fine + 1)
-            x, y = (a.ravel() for a in np.meshgrid(gx, gy))
-            jac = self.jacobian(c, x, y)
-            det, stretch = float(np.linalg.det(jac).min()), float(np.linalg.svd(jac, compute_uv=False).min())
+            gx, gy, x, y, maps = _grid(self, fine)
+            # The shifts and their derivatives along x and y at every place of the grid.
+            shift, along, down = (maps @ c).reshape(3, len(x), 2)
+            xx, xy, yx, yy = along[:, 0] + 1, down[:, 0], along[:, 1], down[:, 1] + 1
+            dets = xx * yy - xy * yx
+            widest = (np.hypot(xx + yy, yx - xy) + np.hypot(xx - yy, yx + xy)) / 2
+            det, stretch = float(dets.min()), float((np.abs(dets) / np.maximum(widest, 1e-300)).min())
             if det <= 0 or stretch <= tau:
                 return False, det, stretch, "determinant" if det <= 0 else "stretch"
-            u, v = (a.reshape(len(gy), len(gx)) for a in self.moved(c, x, y))
+            u, v = (a.reshape(len(gy), len(gx)) for a in (x + shift[:, 0], y + shift[:, 1]))
             area = lambda a, b, d: (u[b] - u[a]) * (v[d] - v[a]) - (v[b] - v[a]) * (u[d] - u[a])  # noqa: E731, B023
             o, r, b, d = (slice(None, -1), slice(None, -1)), (slice(None, -1), slice(1, None)), (slice(1, None), slice(None, -1)), (slice(1, None), slice(1, None))
             if min(area(o, r, d).min(), area(o, d, b).min()) <= 0:
@@ -145,11 +149,24 @@ def _weights(t: np.ndarray, derivative: int, n: int) -> tuple[np.ndarray, np.nda
     return i, np.stack(w, axis=1)
 
 
+@lru_cache(maxsize=8)
+def _grid(lattice: Lattice, fine: int) -> tuple[np.ndarray, ...]:
+    """The columns and rows of a grid of ``fine`` steps to a cell, its places, and the matrix that takes coefficients to the shifts there and to their derivatives."""
+    gx, gy = np.linspace(0, lattice.width - 1, (lattice.nx - 3) * fine + 1), np.linspace(0, lattice.height - 1, (lattice.ny - 3) * fine + 1)
+    x, y = (a.ravel() for a in np.meshgrid(gx, gy))
+    maps = np.zeros((3, len(x), lattice.size))
+    for k, (dx, dy) in enumerate(((0, 0), (1, 0), (0, 1))):
+        at, w = lattice.design(x, y, dx, dy)
+        maps[k, np.arange(len(x))[:, None], at] = w
+    return gx, gy, x, y, maps.reshape(-1, lattice.size)
+
+
 def _crosses_itself(ring: np.ndarray) -> bool:
-    a, b = ring, np.roll(ring, -1, axis=0)
-    cross = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
-    p, q, r, s = a[:, None], b[:, None], a[None], b[None]
-    return bool(((cross(p, q, r) * cross(p, q, s) < -1e-10) & (cross(r, s, p) * cross(r, s, q) < -1e-10)).any())
+    (x, y), (dx, dy) = ring.T, (np.roll(ring, -1, axis=0) - ring).T
+    # On which side of each edge every corner lies; the end of an edge is the next corner.
+    side = dx[:, None] * (y[None] - y[:, None]) - dy[:, None] * (x[None] - x[:, None])
+    parted = side * np.roll(side, -1, axis=1) < -1e-10
+    return bool((parted & parted.T).any())
 
 
 def rigid(q: np.ndarray, z: np.ndarray, w: np.ndarray) -> tuple[complex, complex]:

@@ -111,3 +111,24 @@ def test_small_videos_take_all_turns_in_one_task(spark, monkeypatch, whole, jobs
         reference, n, rms, c = _naive(rows, 40.0, 1.5, 0.01, 4, 0.0)
         assert (got[v].reference, got[v].n) == (reference, n) and abs(got[v].rms - rms) < 1e-9
         assert np.abs(np.array(got[v].coefficients).reshape(-1, 2) - c).max() < 1e-5
+
+
+def test_fold_checks_share_their_grid(monkeypatch):
+    lattice, rng, calls = Lattice(700, 500, 90.0), np.random.default_rng(3), []
+    design = Lattice.design
+    monkeypatch.setattr(Lattice, "design", lambda self, *a: calls.append(1) or design(self, *a))
+    seen = set()
+    for k in range(40):
+        c = lattice.start(np.array([1.0, 0, 0, rng.uniform(0.06, 1.2), 0, 0])) + rng.normal(0, [1, 40][k % 2], (lattice.size, 2))
+        sound, det, stretch, reason = lattice.folds(c)
+        seen.add(reason)
+        x, y = (a.ravel() for a in np.meshgrid(np.linspace(0, 699, 4 * (lattice.nx - 3) + 1), np.linspace(0, 499, 4 * (lattice.ny - 3) + 1)))
+        jac = np.broadcast_to(np.eye(2), (len(x), 2, 2)).copy()
+        for i, d in enumerate(((1, 0), (0, 1))):
+            at, w = design(lattice, x, y, *d)
+            jac[:, :, i] += np.einsum("nk,nkc->nc", w, c[at])
+        if reason == "determinant":
+            assert det == pytest.approx(np.linalg.det(jac).min(), abs=1e-9) and stretch == pytest.approx(np.linalg.svd(jac, compute_uv=False).min(), abs=1e-9)
+    assert {None, "determinant"} <= seen
+    # Each field used to build its grid and the weights there anew, four times.
+    assert len(calls) <= 6
