@@ -23,7 +23,12 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
     """The points of the observation frames, with their place in the list; a null confidence counts as 1."""
-    rows = observations(spark, folder).select("frame_id", "video_id", "role", "enabled", F.posexplode("points").alias("pos", "p"))
+    return opened(observations(spark, folder))
+
+
+def opened(frames: DataFrame) -> DataFrame:
+    """The points of frames, one row each."""
+    rows = frames.select("frame_id", "video_id", "role", "enabled", F.posexplode("points").alias("pos", "p"))
     return rows.select(
         "frame_id", "video_id", "role", "enabled", "pos", F.col("p.grid_col").cast("double").alias("col"), F.col("p.grid_row").cast("double").alias("row"),
         F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.coalesce("p.confidence", F.lit(1.0)).alias("w"),

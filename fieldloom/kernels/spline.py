@@ -41,15 +41,14 @@ class Lattice:
         w = wy[:, :, None] * wx[:, None, :] / self.spacing ** (dx + dy)
         return at.reshape(len(x), 16), w.reshape(len(x), 16)
 
-    def products(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The 100 different products of two of the 16 weights of each place, one row for each product."""
+    def products(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The 10 different products of two of the 4 weights of each place, along x and along y."""
         (_, wx), (_, wy) = _weights(x / self.spacing, 0, self.nx), _weights(y / self.spacing, 0, self.ny)
         a, b = np.triu_indices(4)
-        px, py = (wx[:, a] * wx[:, b]).T, (wy[:, a] * wy[:, b]).T
-        return (py[:, None, :] * px[None, :, :]).reshape(100, len(x))
+        return wx[:, a] * wx[:, b], wy[:, a] * wy[:, b]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each of the 256 pairs of the 16 control points: both as steps from the first of the 16, and the row of ``products``."""
+        """Of each of the 256 pairs of the 16 control points: both as steps from the first of the 16, and the place of its product among the 10 along y by 10 along x."""
         of = np.zeros((4, 4), int)
         of[np.triu_indices(4)] = np.arange(10)
         of = np.maximum(of, of.T)

@@ -21,7 +21,7 @@ from fieldloom.storage import Scratch
 #: Videos whose sums a task holds at a time.
 HELD = 64
 #: Points of a video that takes all its turns in one task; also those of a chunk of a larger one.
-WHOLE = 50_000
+WHOLE = 250_000
 #: Points of small videos that are fitted together.
 TOGETHER = 8_000
 _FIELD = "video_id long, reference long, step double, coefficients array<double>"
@@ -96,15 +96,20 @@ class _Block:
         self.xy, self.q = v[:, 2] + 1j * v[:, 3], step[self.frame] * (v[:, 0] + 1j * v[:, 1])
         at, self.w = lattice.design(v[:, 2], v[:, 3])
         self.at = at + self.slot[:, None] * k
-        # Points of one cell have the same 16 control points, so their products are summed before they are placed.
+        # Points of one cell have the same 16 control points, so their products are summed before they are placed: in groups of up to ``wide`` points.
         self.order = np.argsort(self.at[:, 0], kind="stable")
         first = self.at[self.order, 0]
-        self.cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        self.products = lattice.products(v[self.order, 2], v[self.order, 3])
-        self.weights = np.ascontiguousarray(self.w[self.order].T)
+        cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+        wide = int(min(64, max(8, len(v) // len(cuts))))
+        place = np.arange(len(v)) - np.repeat(cuts, np.diff(np.append(cuts, len(v))))
+        heads = np.flatnonzero(place % wide == 0)
+        self.group, self.place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(v)))), place % wide
+        px, py = lattice.products(v[self.order, 2], v[self.order, 3])
+        self.px, self.py, self.weights = (np.zeros((len(heads), *shape)) for shape in ((wide, 10), (10, wide), (16, wide)))
+        self.px[self.group, self.place], self.py[self.group, :, self.place], self.weights[self.group, :, self.place] = px, py, self.w[self.order]
         one, other, self.source = lattice.pairs()
-        first = first[self.cuts][:, None]
-        self.into, self.down = ((first + one) * k + first % k + other).ravel(), self.at[self.order][self.cuts].ravel()
+        first = first[heads][:, None]
+        self.into, self.down = ((first + one) * k + first % k + other).ravel(), self.at[self.order][heads].ravel()
 
     def sums(self, c: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each video under its field: the normal equations, their right sides, and the squared error and count."""
@@ -115,8 +120,10 @@ class _Block:
         off = np.abs(goal - z)
         weight = (self.own * np.minimum(1, limit / np.maximum(off, 1e-20)))[self.order]
         want = (goal - self.xy)[self.order] * weight
-        a = np.add.reduceat(self.products * weight, self.cuts, axis=1)[self.source].T
-        b = [np.bincount(self.down, np.add.reduceat(self.weights * side, self.cuts, axis=1).T.ravel(), self.slots * self.k) for side in (want.real, want.imag)]
+        by = np.zeros((3, *self.px.shape[:2]))
+        by[:, self.group, self.place] = weight, want.real, want.imag
+        a = np.matmul(self.py * by[0][:, None, :], self.px).reshape(-1, 100)[:, self.source]
+        b = [np.bincount(self.down, side.ravel(), self.slots * self.k) for side in np.moveaxis(np.matmul(self.weights, np.moveaxis(by[1:], 0, -1)), -1, 0)]
         e = [np.bincount(self.slot, off * off, self.slots), np.bincount(self.slot, minlength=self.slots)]
         return np.bincount(self.into, a.ravel(), self.slots * self.k**2).reshape(-1, self.k, self.k), np.stack(b, axis=-1).reshape(-1, self.k, 2), np.stack(e, axis=-1)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldloom.adapters import OBSERVATIONS, observations, points, rounded, sql_rounded, table
+from fieldloom.adapters import OBSERVATIONS, observations, opened, points, rounded, sql_rounded, table
 from fieldloom.functions import spline
 from fieldloom.kernels.spline import Lattice
 from fieldloom.operators import calibration as ops
@@ -19,31 +19,35 @@ from fieldloom.storage import Scratch
 LATTICE = Lattice(2160, 1440, 240.0)
 
 
-def _frames(spark, folder, role):
-    return observations(spark, folder).where(f"enabled AND role = '{role}' AND points IS NOT NULL").select("video_id", "frame_id", "points")
+def _observed(spark, folder):
+    """The frames that count, without copies; written once, as they are read several times."""
+    frames = observations(spark, folder).where("enabled AND role IN ('train', 'validation') AND points IS NOT NULL")
+    return Scratch(spark, "observed").save(frames.select("video_id", "frame_id", "role", "enabled", "points"), "frames")
 
 
-def _fields(spark, folder):
+def _fields(observed):
     # The step of a video's grid is the middle scale of its train frames.
-    scales = fits.rigid_fit(points(spark, folder).where("enabled AND role = 'train'"), ["video_id", "frame_id"]).where("n >= 3")
+    train = observed.where("role = 'train'")
+    scales = fits.rigid_fit(opened(train), ["video_id", "frame_id"]).where("n >= 3")
     steps = scales.groupBy("video_id").agg(F.median("scale").alias("step"))
-    return Scratch(spark, "fields").save(ops.fitted_fields(_frames(spark, folder, "train"), steps, LATTICE), "fields")
+    return ops.fitted_fields(train.select("video_id", "frame_id", "points"), steps, LATTICE)
 
 
 @query("calibration_fit")
 def calibration_fit(spark, folder):
-    return rounded(_fields(spark, folder).select("video_id", "reference", "n", "rms"), 2)
+    return rounded(_fields(_observed(spark, folder)).select("video_id", "reference", "n", "rms"), 2)
 
 
 @query("fold_check")
 def fold_check(spark, folder):
-    return rounded(ops.fold_checks(_fields(spark, folder), LATTICE), 2)
+    return rounded(ops.fold_checks(_fields(_observed(spark, folder)), LATTICE), 2)
 
 
 @query("holdout_metrics")
 def holdout_metrics(spark, folder):
-    frames = _frames(spark, folder, "validation")
-    errors = Scratch(spark, "holdout").save(ops.field_errors(frames, _fields(spark, folder), LATTICE, heldout=True), "errors")
+    observed = _observed(spark, folder)
+    frames = observed.where("role = 'validation'").select("video_id", "frame_id", "points")
+    errors = Scratch(spark, "holdout").save(ops.field_errors(frames, _fields(observed), LATTICE, heldout=True), "errors")
     scored = errors.groupBy("video_id").agg(F.count_distinct("frame_id").alias("scored"))
     g = frames.groupBy("video_id").agg(F.count("*").alias("frames")).join(scored, "video_id", "left").join(error_statistics(errors, ["video_id"], "error"), "video_id", "left")
     share = F.coalesce("scored", F.lit(0)) / F.col("frames")

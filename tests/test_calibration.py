@@ -93,7 +93,7 @@ def _naive(frames, step, limit, smooth, rounds, still):
     return reference, n, rms, c
 
 
-@pytest.mark.parametrize("whole,jobs", [(50_000, 20), (0, None)])
+@pytest.mark.parametrize("whole,jobs", [(250_000, 20), (0, None)])
 def test_small_videos_take_all_turns_in_one_task(spark, monkeypatch, whole, jobs):
     monkeypatch.setattr(cal, "WHOLE", whole or 1, raising=False)
     schema = "video_id long, frame_id long, train boolean, points array<struct<grid_col:int,grid_row:int,x:double,y:double,confidence:double>>"
