@@ -174,23 +174,80 @@ def distinct_places(cells: DataFrame, group: str, order: str, reach: float) -> D
     return chosen_in_order(rows, group, order, dict, choose)
 
 
+class _Kept:
+    """The points of the frames kept so far on a grid of ``least``: the older ones sorted by cell, the last few not yet."""
+
+    #: Points that wait unsorted.
+    FEW = 1024
+    #: Cells of a row of the grid.
+    _ROW = 1 << 31
+
+    def __init__(self, least: float):
+        self.least, self.cell, self.frames = least, least * (1 + 1e-9), 0
+        self.key, self.at, self.of = np.zeros(0, np.int64), np.zeros(0, complex), np.zeros(0, np.int64)
+        self.late: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting, self.tail = 0, None
+
+    def _cells(self, p: np.ndarray) -> np.ndarray:
+        return np.floor(p.real / self.cell).astype(np.int64) * self._ROW + np.floor(p.imag / self.cell).astype(np.int64)
+
+    def add(self, own: np.ndarray) -> None:
+        if np.isnan(np.abs(own)).any():  # no frame is near to it
+            return
+        own = own[np.isfinite(own)]
+        self.late.append((self._cells(own), own, np.full(len(own), self.frames)))
+        self.frames, self.waiting, self.tail = self.frames + 1, self.waiting + len(own), None
+        if self.waiting > max(self.FEW, len(self.key) // 64):
+            key, at, of = (np.concatenate(c) for c in zip((self.key, self.at, self.of), *self.late, strict=True))
+            order = np.argsort(key, kind="stable")
+            self.key, self.at, self.of, self.late, self.waiting = key[order], at[order], of[order], [], 0
+
+    def near(self, own: np.ndarray) -> bool:
+        """Whether the middle distance of a point to the nearest one of any kept frame is below ``least``."""
+        need, p = len(own) // 2 + 1, own[np.isfinite(own)]
+        if len(p) < need:
+            return False
+        if self.late:
+            if self.tail is None:
+                self.tail = [np.concatenate(c) for c in zip(*self.late, strict=True)]
+            if self._enough(*np.nonzero(np.abs(p[:, None] - self.tail[1][None]) < self.least), self.tail[2], need):
+                return True
+        if not len(self.key):
+            return False
+        # Of each point the three rows of cells around it; the cells of a row lie side by side.
+        mid = self._cells(p)[:, None] + np.array([-self._ROW, 0, self._ROW])
+        low, high = np.searchsorted(self.key, mid.ravel() - 1), np.searchsorted(self.key, mid.ravel() + 1, "right")
+        n = high - low
+        point = np.repeat(np.arange(len(n)) // 3, n)
+        place = np.arange(len(point)) + np.repeat(low - np.cumsum(n) + n, n)
+        close = np.abs(p[point] - self.at[place]) < self.least
+        return self._enough(point[close], place[close], self.of, need)
+
+    @staticmethod
+    def _enough(point: np.ndarray, place: np.ndarray, of: np.ndarray, need: int) -> bool:
+        """Whether ``need`` different points are near to one frame."""
+        if len(point) < need:
+            return False
+        width = int(point.max()) + 1
+        pairs = np.unique(of[place] * width + point) // width
+        return bool(np.unique(pairs, return_counts=True)[1].max() >= need)
+
+
 def moved_enough(frames: DataFrame, group: Sequence[str], least: float) -> DataFrame:
     """The frames of each group, in their order, whose points have moved: to no frame kept before is the middle distance of a point to its nearest one below ``least``.
 
-    ``frames`` has ``frame_id`` and ``points`` (``x``, ``y``). Each frame is compared with those kept, of which a group (a video and role) has
-    as many as differ; the last of them is tried first, as neighbours are most alike.
+    ``frames`` has ``frame_id`` and ``points`` (``x``, ``y``). The middle distance is below ``least`` if more than half of the points are that near, so
+    points look for near ones on a grid instead of in every frame kept.
     """
     k = "__group"
     rows = frames.select(F.to_json(F.struct(*group)).alias(k), "frame_id", F.transform("points", lambda p: p["x"]).alias("px"), F.transform("points", lambda p: p["y"]).alias("py"), *group)
     rows = rows.where("size(px) > 0")
 
-    def choose(kept: list, columns: dict[str, np.ndarray], row: int) -> tuple[bool, list]:
+    def choose(kept: _Kept, columns: dict[str, np.ndarray], row: int) -> tuple[bool, _Kept]:
         own = columns["px"][row] + 1j * columns["py"][row]
-        for other in reversed(kept):
-            nearest = np.abs(own[:, None] - other[None, :]).min(axis=1)
-            if np.partition(nearest, len(own) // 2)[len(own) // 2] < least:
-                return False, kept
-        kept.append(own)
+        if kept.near(own):
+            return False, kept
+        kept.add(own)
         return True, kept
 
-    return chosen_in_order(rows, k, "frame_id", list, choose).select(*group, "frame_id")
+    return chosen_in_order(rows, k, "frame_id", lambda: _Kept(least), choose).select(*group, "frame_id")
