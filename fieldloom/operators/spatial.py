@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.storage import Scratch
+
 
 @dataclass(frozen=True)
 class Plane:
@@ -211,29 +213,34 @@ def nearest(points: DataFrame, item: str, group: Sequence[str], k: int, reach: f
     place only the smallest can be among the nearest, so the others only ask. ``barred`` has pairs (``reference`` <
     ``current``) that do not count.
     """
-    at = points.select(*group, item, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    # Each level is written, so that it runs once and its shuffle files go before the next.
+    scratch = Scratch(points.sparkSession, "nearest")
+    at = scratch.save(points.select(*group, item, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), "points")
+    if barred is not None:
+        barred = scratch.save(barred.select(*group, "reference", "current"), "barred")
     spare = 0
     if barred is not None:
         ends = barred.select(*group, F.explode(F.array("reference", "current")).alias(item))
         spare = ends.groupBy(*group, item).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     first = F.row_number().over(Window.partitionBy(*group, "x", "y").orderBy(item))
-    near = at.withColumn("first", first).where(F.col("first") <= k + 1 + spare).drop("first")
+    near = scratch.save(at.withColumn("first", first).where(F.col("first") <= k + 1 + spare).drop("first"), "near")
     asks, found = at, None
-    for part in [*levels, 1.0]:
-        here = _within(asks, near, item, group, k, reach * part, barred)
+    for level, part in enumerate([*levels, 1.0]):
+        here = scratch.save(_within(asks, near, item, group, k, reach * part, barred), f"level{level}")
         if part < 1.0:
             full = here.groupBy(*group, "ask").agg(F.count("*").alias("n")).where(F.col("n") == k).select(*group, F.col("ask").alias(item))
-            asks = asks.join(full, [*group, item], "left_anti")
+            asks = scratch.save(asks.join(full, [*group, item], "left_anti"), f"asks{level}")
             here = here.join(full.withColumnRenamed(item, "ask"), [*group, "ask"], "left_semi")
         found = here if found is None else found.unionByName(here)
     return found
 
 
 def _within(asks: DataFrame, points: DataFrame, item: str, group: Sequence[str], k: int, reach: float, barred: DataFrame | None) -> DataFrame:
-    cell = lambda c: F.floor(F.col(c) / reach)
-    placed = points.select(*group, item, "x", "y", cell("x").alias("i"), cell("y").alias("j"))
-    around = F.array(*[F.struct((cell("x") + a).alias("i"), (cell("y") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    opened = asks.select(*group, F.col(item).alias("ask"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.inline(around))
+    # Cells are four reaches wide, so what is asked meets 2.25 of them at an average.
+    cell = lambda c: F.floor(c / (4 * reach))
+    met = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    placed = points.select(*group, item, "x", "y", cell(F.col("x")).alias("i"), cell(F.col("y")).alias("j"))
+    opened = asks.withColumn("i", met("x")).withColumn("j", met("y")).select(*group, F.col(item).alias("ask"), F.col("x").alias("ax"), F.col("y").alias("ay"), "i", "j")
     d = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
     pairs = opened.join(placed, [*group, "i", "j"]).where((F.col("ask") != F.col(item)) & (d < reach * reach)).select(*group, "ask", item, d.alias("d"))
     if barred is not None:
