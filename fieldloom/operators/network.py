@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import pose as P
 from fieldloom.functions import stats
-from fieldloom.storage import Scratch
+from fieldloom.kernels import returns
 
 
 def verdict(forward: Column, backward: Column, cycle: Column, score: Column, support: Column, pose_ok: Column, limit: float = 2.0, least_score: float = 0.9, least_support: float = 128.0) -> Column:
@@ -88,40 +91,78 @@ def consensus(votes: DataFrame, key: Sequence[str], item: str, tolerance: float,
 def overlap_checks(path: DataFrame, track: str, order: str, reach: float) -> DataFrame:
     """Per region the closest pair of places that the path comes back to: nearer than ``reach`` after travelling twice as far.
 
-    Each place keeps its closest later one, each region of half the reach its closest pair. The join is
-    on grid cells of the reach.
+    Each place keeps its closest later one, each region of half the reach its closest pair. The path is cut into
+    tiles, each with the places within the reach around it, so that every row is moved once or a little more; a tile
+    is in one task.
     """
     from fieldloom.operators.windows import travelled
 
     # A row at which the path has not moved has the same answer as the one before and is never the first of its place.
     still = F.lag("travelled").over(Window.partitionBy(track).orderBy(order)) == F.col("travelled")
-    moving = travelled(path, track, order).withColumn("still", F.coalesce(still, F.lit(False))).where("NOT still")
-    rows = Scratch(path.sparkSession, "checks").save(moving.select(track, order, "x", "y", "travelled"), "rows")
-    asks, best = rows, None
-    # A place with a partner within a part of the reach has its closest one there, so dense places are settled on fine grids.
-    for part in (1 / 64, 1 / 16, 1 / 4, 1.0):
-        here = _closest_later(asks, rows, track, order, reach * part, 2 * reach)
-        best = here if best is None else best.unionByName(here)
-        asks = asks.join(here.select(track, F.col("reference").alias(order)), [track, order], "left_anti")
-    best = best.withColumns({"ri": F.floor(F.col("mx") / (reach / 2)), "rj": F.floor(F.col("my") / (reach / 2))})
+    moving = travelled(path, track, order).withColumn("still", F.coalesce(still, F.lit(False))).where("NOT still AND y IS NOT NULL")
+    edge = TILE * reach
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1.001 * reach) / edge), F.floor((F.col(c) + 1.001 * reach) / edge)))
+    places = moving.select(track, F.col(order).alias("at"), "x", "y", "travelled").withColumn("ti", tiles("x")).withColumn("tj", tiles("y"))
+    kinds = dict(path.dtypes)
+    tiled = places.repartition(track, "ti", "tj").sortWithinPartitions(track, "ti", "tj")
+    best = tiled.mapInArrow(lambda batches: _closest_pairs(batches, reach), f"`{track}` {kinds[track]}, reference {kinds[order]}, current {kinds[order]}, d double, ri long, rj long")
     region = F.row_number().over(Window.partitionBy(track, "ri", "rj").orderBy("d", "reference"))
     return best.withColumn("k", region).where("k = 1").select(track, "reference", "current", "d")
 
 
-def _closest_later(asks: DataFrame, rows: DataFrame, track: str, order: str, reach: float, way: float) -> DataFrame:
-    """For each ask its closest later row nearer than ``reach`` and at least ``way`` further on, and their middle."""
-    cell = lambda c: F.floor(F.col(c) / reach)
-    around = F.array(*[F.struct((cell("x") + a).alias("i"), (cell("y") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    a = asks.select(track, F.col(order).alias("reference"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("travelled").alias("at"), F.inline(around))
-    # Cells that the path leaves for good before it has travelled far enough have no partner.
-    late = rows.groupBy(track, cell("x").alias("i"), cell("y").alias("j")).agg(F.max("travelled").alias("latest"))
-    a = a.join(late, [track, "i", "j"]).where(F.col("latest") - F.col("at") >= way).drop("latest")
-    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    pairs = a.join(rows.withColumns({"i": cell("x"), "j": cell("y")}), [track, "i", "j"]).withColumn("d", F.sqrt(dx * dx + dy * dy))
-    good = pairs.where((F.col(order) > F.col("reference")) & (F.col("travelled") - F.col("at") >= way) & (F.col("d") < reach))
-    middle = [((F.col("ax") + F.col("x")) / 2).alias("mx"), ((F.col("ay") + F.col("y")) / 2).alias("my")]
-    first = good.groupBy(track, "reference").agg(F.min(F.struct("d", F.col(order).alias("current"), *middle)).alias("m"))
-    return first.select(track, "reference", "m.current", "m.d", "m.mx", "m.my")
+#: Reaches in the edge of a tile; rows of small tiles that are taken together.
+TILE, TOGETHER = 16, 100_000
+
+
+def _closest_pairs(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+    """Of tiles (track, at, x, y, travelled, ti, tj; sorted) the closest of their places' pairs in each region."""
+    for table in _whole_tiles(batches):
+        track, at = table.column(0).combine_chunks(), table.column(1).combine_chunks()
+        x, y, way, ti, tj = (table.column(i).to_numpy() for i in range(2, 7))
+        group = np.cumsum(_starts(table)) - 1
+        edge = TILE * reach
+        own = (np.floor(x / edge) == ti) & (np.floor(y / edge) == tj)
+        corner = ti * edge - 2 * reach, tj * edge - 2 * reach
+        a, b, d = returns.closest_later(group, x, y, corner, way, at.to_numpy(), np.flatnonzero(own), reach, 2 * reach)
+        ri, rj = (np.floor((c[a] + c[b]) / 2 / (reach / 2)).astype(np.int64) for c in (x, y))
+        by = np.lexsort((at.to_numpy()[a], d, rj, ri, group[a]))
+        key = np.stack([group[a], ri, rj])[:, by]
+        new = np.ones(len(by), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        pick = by[new]
+        yield pa.RecordBatch.from_arrays([track.take(pa.array(a[pick])), at.take(pa.array(a[pick])), at.take(pa.array(b[pick])), pa.array(d[pick]), pa.array(ri[pick]), pa.array(rj[pick])],
+                                         names=[table.column_names[0], "reference", "current", "d", "ri", "rj"])
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Which rows have another track or tile than the row before."""
+    new = np.ones(table.num_rows, bool)
+    if len(new) > 1:
+        new[1:] = False
+        for i in (0, 5, 6):
+            c = table.column(i).combine_chunks()
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, cut between tiles where ``TOGETHER`` of them have come."""
+    held, rows, most = [], 0, TOGETHER
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.flatnonzero(_starts(table))[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        most = max(TOGETHER, 2 * rows)  # a large tile is not looked through at each batch
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def frame_report(pairs: DataFrame, track: str) -> DataFrame:
