@@ -62,18 +62,22 @@ def possible(values: np.ndarray, field: Field) -> np.ndarray:
         return (np.isfinite(values) & (values >= field.low) & (values <= field.high)).all(axis=1)
 
 
-def equal_runs(values: np.ndarray) -> np.ndarray:
-    """The length of the run of exactly equal rows that each row is in."""
+def equal_runs(values: np.ndarray, begins: Sequence[int] | np.ndarray = (0,)) -> np.ndarray:
+    """The length of the run of exactly equal rows that each row is in; series begin at ``begins``."""
     if not len(values):
         return np.zeros(0, int)
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]).any(axis=1)
+    new[begins] = True
     run = np.cumsum(new) - 1
     return np.bincount(run)[run]
 
 
 def _distance(values: np.ndarray) -> np.ndarray:
-    return np.sqrt((values * values).sum(axis=1))
+    square = values[:, 0] * values[:, 0]
+    for k in range(1, values.shape[1]):
+        square += values[:, k] * values[:, k]
+    return np.sqrt(square)
 
 
 def usual_scatter(values: np.ndarray, steps: bool) -> float:
@@ -92,125 +96,205 @@ def usual_scatter(values: np.ndarray, steps: bool) -> float:
     return float(usual if steps else usual / 0.6745 / np.sqrt(2))
 
 
-def _middle(values: np.ndarray) -> np.ndarray:
-    """The upper median of each column."""
-    half = len(values) // 2
-    return np.partition(values, half, axis=0)[half]
-
-
-def _running_median(values: np.ndarray, width: int) -> np.ndarray:
-    """The median of each column over ``width`` rows around each row, the ends repeated."""
-    half = width // 2
-    padded = np.concatenate([values[:1].repeat(half, 0), values, values[-1:].repeat(half, 0)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, width, axis=0)
-    return np.partition(windows, half, axis=-1)[..., half]
-
-
-def _slope(values: np.ndarray) -> np.ndarray:
-    out = np.empty_like(values)
-    out[1:-1] = (values[2:] - values[:-2]) / 2
-    out[0], out[-1] = values[1] - values[0], values[-1] - values[-2]
-    return out
-
-
-def phase_space(series: np.ndarray) -> np.ndarray:
-    """Which rows have a column outside its ellipsoid of value, first and second difference in any round.
+@dataclass(frozen=True)
+class _Series:
+    """Several series one after the other: where each begins and its length, and of each row its series, the first and the last row of that."""
+
+    begins: np.ndarray
+    lengths: np.ndarray
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(lengths: np.ndarray) -> _Series:
+        begins = np.cumsum(lengths) - lengths
+        number = np.repeat(np.arange(len(lengths)), lengths)
+        return _Series(begins, lengths, number, begins[number], (begins + lengths - 1)[number])
+
+    def middle(self, values: np.ndarray) -> np.ndarray:
+        """The upper median of each column in each series."""
+        part = values.copy()
+        for begin, n in zip(self.begins.tolist(), self.lengths.tolist(), strict=True):
+            part[begin : begin + n].partition(n // 2, axis=0)
+        return part[self.begins + self.lengths // 2]
+
+    def running_median(self, values: np.ndarray, width: int, rows: np.ndarray) -> np.ndarray:
+        """The median of each column over ``width`` rows around each of ``rows``, the ends repeated."""
+        half = width // 2
+        low, high = self.low[rows], self.high[rows]
+        windows = np.stack([values[np.clip(rows + k, low, high)] for k in range(-half, half + 1)], axis=-1)
+        windows.partition(half, axis=-1)
+        return windows[..., half]
+
+    def slope(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Half the difference of the rows on either side of each of ``rows``, at an end the difference to the only one."""
+        low, high = np.maximum(rows - 1, self.low[rows]), np.minimum(rows + 1, self.high[rows])
+        return (values[high] - values[low]) / (high - low)[:, None]
+
+    def around(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The rows that are ``width`` or less from one of ``rows``, in the series beside it too."""
+        n = len(self.number)
+        if len(rows) * 8 < n:
+            near = np.unique(rows[:, None] + np.arange(-width, width + 1))
+            return near[(near >= 0) & (near < n)]
+        near = np.zeros(n + 2 * width, bool)
+        for k in range(2 * width + 1):
+            near[rows + k] = True
+        return np.flatnonzero(near[width : n + width])
+
+
+class _Bridges:
+    """One column of several series, with straight lines where readings are taken out; at an end of a series the only reading."""
+
+    def __init__(self, values: np.ndarray, of: _Series):
+        self.values, self.of = values, of
+        self.out = np.zeros(len(values), bool)
+        place = np.arange(len(values))
+        #: Of each row taken out one further on, back and forth, with none left between.
+        self.further = {-1: place - 1, 1: place + 1}
+
+    def _left(self, rows: np.ndarray, step: int) -> np.ndarray:
+        """The next row that is left beside each of ``rows``, or one beyond the end of its series."""
+        at, low, high = rows + step, self.of.low[rows], self.of.high[rows]
+        while True:
+            go = np.flatnonzero((at >= low) & (at <= high))
+            go = go[self.out[at[go]]]
+            if not len(go):
+                self.further[step][rows] = at
+                return at
+            at[go] = self.further[step][at[go]]
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take ``rows`` out; the rows of their gaps and the values there. Each series must keep one."""
+        self.out[rows] = True
+        low, high = self.of.low[rows], self.of.high[rows]
+        before, after = self._left(rows, -1), self._left(rows, 1)
+        before, one = np.unique(before, return_index=True) if len(rows) > 1 else (before, slice(None))
+        after, low, high = after[one], low[one], high[one]
+        n = after - before - 1
+        gap = np.repeat(before + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
+        before, after = np.where(before < low, after, before), np.where(after > high, before, after)
+        inside = after > before
+        rise = (self.values[after] - self.values[before]) / np.where(inside, after - before, 1)
+        base = self.values[before]
+        return gap, np.where(np.repeat(inside, n), np.repeat(rise, n) * (gap - np.repeat(before, n)) + np.repeat(base, n), np.repeat(base, n))
+
+
+def phase_space(series: np.ndarray, of: _Series) -> np.ndarray:
+    """Which rows have a column outside the ellipsoid of their series of value, first and second difference in any round.
 
     The axes are those of the first round: medians are not moved by spikes, and an ellipsoid that shrank
-    with every reading taken out would in the end hold none.
+    with every reading taken out would in the end hold none. A series has FEWEST rows or more.
     """
-    n = len(series)
-    out = np.zeros(series.shape, bool)
-    if n < FEWEST:
-        return out.any(axis=1)
-    reach = np.sqrt(2 * np.log(n))
+    reach = np.sqrt(2 * np.log(of.lengths))[:, None]
     now = series.copy()
-    place = np.arange(n)
+    bridges = [_Bridges(np.ascontiguousarray(series[:, k]), of) for k in range(series.shape[1])]
+    left = np.repeat(of.lengths[:, None], len(bridges), axis=1)
+    closed = np.zeros(len(of.lengths), bool)
+    rows = np.arange(len(series))
+    u, du, ddu = np.empty_like(now), np.empty_like(now), np.empty_like(now)
     usual: list[tuple[np.ndarray, np.ndarray]] = []
-    while True:  # every round but the last flags a reading more
-        u = now - _running_median(now, 2 * LONGEST + 1)
-        du = _slope(u)
-        total = np.zeros(series.shape)
-        for k, axis in enumerate((u, du, _slope(du))):
-            if k == len(usual):
-                centre = _middle(axis)
-                usual.append((centre, _middle(np.abs(axis - centre)) / 0.6745))
-            off, scale = np.abs(axis - usual[k][0]), usual[k][1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total += np.where(scale > 0, (off / (reach * scale)) ** 2, np.where(off > 0, 2.0, 0.0))
-        new = (total > 1) & ~out
-        if not new.any() or (out | new).all(axis=0).any():
-            break
-        out |= new
+    while len(rows):  # every round flags a reading more; what is not near those that were replaced stays as it is
+        u[rows] = now[rows] - of.running_median(now, 2 * LONGEST + 1, rows)
+        rows = of.around(rows, 1)
+        du[rows] = of.slope(u, rows)
+        rows = of.around(rows, 1)
+        ddu[rows] = of.slope(du, rows)
+        number = of.number[rows]
+        total = np.zeros((len(rows), len(bridges)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k, axis in enumerate((u, du, ddu)):
+                if k == len(usual):
+                    centre = of.middle(axis)
+                    scale = of.middle(np.abs(axis - centre[of.number])) / 0.6745
+                    usual.append((centre, reach * scale))
+                off, scale = np.abs(axis[rows] - usual[k][0][number]), usual[k][1][number]
+                total += np.where(scale > 0, (off / scale) ** 2, np.where(off > 0, 2.0, 0.0))
+        new = (total > 1) & ~np.stack([b.out[rows] for b in bridges], axis=1) & ~closed[number, None]
+        hit = np.flatnonzero(new.any(axis=1))
+        rows, number, new = rows[hit], number[hit], new[hit]
+        more = np.stack([np.bincount(number[new[:, k]], minlength=len(closed)) for k in range(len(bridges))], axis=1)
+        # A series of which a column would keep no reading stays as it is.
+        closed |= (more == left).any(axis=1)
+        new &= ~closed[number, None]
+        left -= np.where(closed[:, None], 0, more)
+        changed = [np.empty(0, int)]
         for k in np.flatnonzero(new.any(axis=0)):
-            bad = out[:, k]
-            now[bad, k] = np.interp(place[bad], place[~bad], series[~bad, k])
-    return out.any(axis=1)
-
-
-def _courses(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The medians of the COURSE rows before each row and from each row on; of fewer at the ends."""
-    n = len(values)
-    full = np.sort(np.lib.stride_tricks.sliding_window_view(values, COURSE, axis=0), axis=-1)[..., COURSE // 2]
-    before, after = np.empty_like(values), np.empty_like(values)
-    before[COURSE:], after[: n - COURSE + 1] = full[: n - COURSE], full
-    for k in range(1, COURSE):
-        before[k], after[n - k] = np.median(values[:k], axis=0), np.median(values[n - k :], axis=0)
-    before[0] = values[0]
-    return before, after
-
-
-def _standing_apart(values: np.ndarray, candidate: np.ndarray, scale: float) -> np.ndarray:
-    n = len(values)
-    found = np.zeros(n, bool)
-    if not candidate.any():
-        return found
-    before, after = _courses(values)
-    for length in range(1, min(LONGEST, n - 2) + 1):
-        first = np.flatnonzero(candidate)
-        first = first[(first >= 1) & (first < n - length)]
+            gap, value = bridges[k].take(rows[new[:, k]])
+            other = value != now[gap, k]
+            now[gap, k] = value
+            changed.append(gap[other])
+        rows = of.around(np.concatenate(changed), LONGEST)
+    return np.any([b.out for b in bridges], axis=0)
+
+
+def _course(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The medians of the rows from ``first`` up to ``end``, each of COURSE (three) rows or fewer."""
+    a, b, c = values[first], values[np.minimum(first + 1, end - 1)], values[end - 1]
+    few = (end - first)[:, None]
+    return np.where(few == COURSE, np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), np.where(few == 2, (a + c) / 2, a))
+
+
+def _standing_apart(values: np.ndarray, of: _Series, candidate: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(values), bool)
+    candidates = np.flatnonzero(candidate)
+    for length in range(1, LONGEST + 1):
+        first = candidates[(candidates > of.low[candidates]) & (candidates + length <= of.high[candidates])]
         for k in range(1, length):
             first = first[candidate[first + k]]
         if not len(first):
             break
-        back, on = before[first], after[first + length]
+        back = _course(values, np.maximum(first - COURSE, of.low[first]), first)
+        on = _course(values, first + length, np.minimum(first + length + COURSE, of.high[first] + 1))
         least = np.full(len(first), np.inf)
         for k in range(length):
             for side in (back, on):
                 least = np.minimum(least, _distance(values[first + k] - side))
-        hit = first[(least > APART * scale) & (_distance(on - back) < RETURN * least)]
+        hit = first[(least > APART * scale[of.number[first]]) & (_distance(on - back) < RETURN * least)]
         found[(hit[:, None] + np.arange(length)[None]).ravel()] = True
     return found
 
 
-def spikes(values: np.ndarray, scale: float) -> np.ndarray:
+def spikes(values: np.ndarray, lengths: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Which rows are spikes: candidates of the phase space that stand apart from a course that goes on.
 
-    The rows found are taken out and the rest is judged again, as a spike may hide another near it. A
-    scale of 0 is that of a course that stands still: any departure that comes back is a spike.
+    ``values`` are series one after the other, with a length and a usual scatter each. The rows found are taken out
+    and the rest of their series is judged again, as a spike may hide another near it. A scale of 0 is that of a
+    course that stands still: any departure that comes back is a spike.
     """
     found = np.zeros(len(values), bool)
-    if not scale >= 0:
-        return found
+    number = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.flatnonzero((scale >= 0)[number])
     while True:
-        left = np.flatnonzero(~found)
-        if len(left) < FEWEST:
-            return found
-        rest = values[left]
-        new = _standing_apart(rest, phase_space(rest), scale)
-        if not new.any():
+        n = np.bincount(number[left], minlength=len(lengths))
+        left = left[n[number[left]] >= FEWEST]
+        if not len(left):
             return found
+        open_ = np.flatnonzero(n >= FEWEST)
+        rest, of = values[left], _Series.of(n[open_])
+        new = _standing_apart(rest, of, phase_space(rest, of), scale[open_])
         found[left[new]] = True
+        again = np.zeros(len(lengths), bool)
+        again[number[left[new]]] = True
+        left = left[~new & again[number[left]]]
 
 
-def faults(values: np.ndarray, field: Field, scale: Sequence[float]) -> np.ndarray:
-    """Which readings of an ordered series are faulty; ``scale`` has the usual scatter of each part."""
+def faults(values: np.ndarray, field: Field, scale: Sequence[float] | np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Which readings of an ordered series are faulty; ``scale`` has the usual scatter of each part.
+
+    With ``lengths`` the values are of several series one after the other, and ``scale`` has a row for each.
+    """
+    lengths = np.array([len(values)]) if lengths is None else lengths
+    scale = np.asarray(scale, float).reshape(len(lengths), len(field.parts))
+    begins = (np.cumsum(lengths) - lengths)[lengths > 0]
     good = possible(values, field)
-    stuck = equal_runs(values) >= STUCK
+    stuck = equal_runs(values, begins) >= STUCK
     bad = ~good | stuck
     free = np.flatnonzero(good & ~stuck)
-    for part, s in zip(field.parts, scale, strict=True):
-        bad[free[spikes(values[free][:, list(part)], s)]] = True
+    left = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[free], minlength=len(lengths))
+    for i, part in enumerate(field.parts):
+        bad[free[spikes(values[free][:, list(part)], left, scale[:, i])]] = True
     return bad
 
 
@@ -239,6 +323,39 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+def _changes(table: pa.Table, keys: int) -> np.ndarray:
+    """Which rows are the first or differ in any of the first ``keys`` columns from the row before."""
+    new = np.ones(table.num_rows, bool)
+    columns = [table.column(i).to_numpy() for i in range(keys)]
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+#: Rows whose chunks are judged together.
+TOGETHER = 100_000
+
+
+def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The sorted rows of a partition, cut between chunks where ``TOGETHER`` of them have come."""
+    held: list[pa.RecordBatch] = []
+    rows, most = 0, TOGETHER
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.flatnonzero(_changes(table, keys))[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        most = max(TOGETHER, 2 * rows)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 
@@ -332,32 +449,35 @@ def flag_faults(df: DataFrame, source: str, order: str, item: str, fields: Seque
     labels = [f.name for f in specs]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _chunks(batches, 2):
-            kinds = _column(whole, "kind")
-            chunk = _once(whole.filter(pa.array(kinds == 0)))
-            if not chunk.num_rows:
-                continue
-            side = whole.filter(pa.array(kinds != 0))
-            side_kind, side_at = _column(side, "kind"), _column(side, "at")
-            side_values = np.stack([side[n].to_numpy().astype(float) for n in names], axis=1)
-            items = _column(chunk, "item")
+        for whole in _together(batches, 2):
+            kind, at, items = (_column(whole, c) for c in ("kind", "at", "item"))
+            first = _changes(whole, 2)
+            group = np.cumsum(first) - 1
+            copy = np.zeros(len(kind), bool)
+            copy[1:] = (items[1:] == items[:-1]) & (at[1:] == at[:-1]) & (kind[1:] == 0) & (kind[:-1] == 0) & ~first[1:]
+            own = (kind == 0) & ~copy
+            values = np.stack([whole[n].to_numpy().astype(float) for n in names], axis=1)
             for k, field in enumerate(specs):
-                at, v = readings(chunk, k)
-                if not len(v):
+                here = np.arange(starts[k], starts[k + 1])
+                there = own.copy()
+                for i in here:
+                    there &= ~whole[names[i]].is_null().to_numpy()
+                if not there.any():
                     continue
-                scale = side_values[(side_kind == -1) & (side_at == k)][0][: len(field.parts)]
-                beyond = []
-                for kind in (100 + k, 200 + k):
-                    pick = np.flatnonzero(side_kind == kind)
-                    beyond.append(side_values[pick[np.argsort(side_at[pick])]][:, : v.shape[1]])
-                before, after = beyond
-                series = np.concatenate([before, v, after])
-                if np.isnan(scale).any():  # no chunk of the source has two readings: its steps are those from chunk to chunk
-                    free = series[possible(series, field) & (equal_runs(series) < STUCK)]
-                    scale = np.where(np.isnan(scale), [usual_scatter(free[:, list(p)], field.steps) for p in field.parts], scale)
-                bad = faults(series, field, scale)[len(before) : len(before) + len(v)]
-                if bad.any():
-                    hit = items[at[bad]]
+                beyond = (kind == 100 + k) | (kind == 200 + k)
+                rows = np.flatnonzero(there | beyond)
+                # The readings before a chunk, its own, those after it.
+                rows = rows[np.argsort(3 * group[rows] + np.where(kind[rows] == 0, 1, np.where(kind[rows] == 100 + k, 0, 2)), kind="stable")]
+                series = np.where(beyond[rows, None], values[rows, : len(here)], values[np.ix_(rows, here)])
+                numbers, lengths = np.unique(group[rows], return_counts=True)
+                scaled = np.flatnonzero((kind == -1) & (at == k))
+                scale = values[scaled[np.searchsorted(group[scaled], numbers)], : len(field.parts)]
+                for i in np.flatnonzero(np.isnan(scale).any(axis=1)):  # no chunk of the source has two readings: its steps are those from chunk to chunk
+                    v = series[group[rows] == numbers[i]]
+                    free = v[possible(v, field) & (equal_runs(v) < STUCK)]
+                    scale[i] = np.where(np.isnan(scale[i]), [usual_scatter(free[:, list(p)], field.steps) for p in field.parts], scale[i])
+                hit = items[rows[faults(series, field, scale, lengths) & ~beyond[rows]]]
+                if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array([labels[k]] * len(hit), pa.string())], names=[item, "field"])
 
     sorted_rows = total.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "kind", "at", "item")

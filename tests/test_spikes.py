@@ -103,3 +103,38 @@ def test_sparse_source(spark):
     df = spark.createDataFrame([(1, i * 1_000_000, i, float(v[i])) for i in range(40)], "s int, t long, e long, v double")
     got = s.flag_faults(df, "s", "t", "e", [(SCORE, [df["v"]])]).collect()
     assert [(r.e, r.field) for r in got] == [(20, "score")]
+
+
+def _many(seed=2):
+    """Series of many lengths, spikes at their ends and in wide gaps among them, some of scatter 0 or without one."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i, n in enumerate((0, 1, 2, 3, 5, 7, 40, 300, 3, 900)):
+        v = np.stack([np.cumsum(rng.normal(1, 0.2, n)), rng.normal(0, 0.2, n)], axis=1)
+        at = rng.random(n) < 0.1
+        v[at] += rng.normal(0, 60, (int(at.sum()), 2))
+        if n > 5:
+            v[0], v[-1], v[n // 2 : n // 2 + 4] = 400.0, -400.0, (90.0, 90.0)
+        if i == 6:
+            v[:] = v[0]
+            v[20] += 50
+        out.append(v)
+    return out
+
+
+def test_series_judged_together_are_those_judged_alone():
+    series = _many()
+    scale = np.array([[s.usual_scatter(v, True)] for v in series])
+    alone = [s.faults(v, MOVING, r) for v, r in zip(series, scale)]
+    together = s.faults(np.concatenate(series), MOVING, scale, np.array([len(v) for v in series]))
+    assert (together == np.concatenate(alone)).all() and together.sum() > 60
+
+
+def test_later_rounds_judge_only_what_has_changed(monkeypatch):
+    v = np.concatenate([_series(4000, seed=i) for i in range(5)])
+    v[::97] += 0.05
+    judged = []
+    median = s._Series.running_median
+    monkeypatch.setattr(s._Series, "running_median", lambda of, values, width, rows: judged.append(len(rows)) or median(of, values, width, rows))
+    assert _faults(v) >= set(range(97, len(v) - 1, 97))
+    assert len(judged) >= 5 and sum(judged) < 3 * len(v)  # each round was over all rows before
